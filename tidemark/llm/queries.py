@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, fingerprint, lm_scoring, minhash, packing, recompression, secrets, suffix_dedup, toxicity
+from tidemark.llm import exact_dedup, fingerprint, lm_scoring, minhash, packing, recompression, secrets, sentencepiece, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_substring_dedup": recompression.op6_substring_dedup,
         "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_sentencepiece": sentencepiece.op8_sentencepiece,
         "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
         "op10_fingerprint": fingerprint.op10_fingerprint,
     }

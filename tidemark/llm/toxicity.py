@@ -217,6 +217,21 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return docs.mapInArrow(run, "doc_id long, score double, predicted int, n_tokens long, passages array<struct<first: long, last: long, score: double>>")
 
 
+def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df that score below the threshold, with all columns; a null text counts as empty."""
+    xs, ps = zip(*model.curve, strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = []
+            for text in batch.column(text_col):
+                n, found = scan(text.as_py() or "", model)
+                stays.append(float(np.interp(evidence([s for *_, s in found], n, model.lam, model.k), xs, ps)) < threshold)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row for each row of df: doc_id, held_out, score, predicted, n_tokens, passages.
 
