@@ -4,9 +4,11 @@
 2. ``bands * rows`` universal hash minima sign a set; a band of equal minima puts two classes into one bucket.
 3. In a bucket every class is held against the bucket's least class. Candidates whose signatures agree on clearly less than
    the threshold go; the others are confirmed on their full sets. Confirmed links make components.
-4. Where a bucket still holds several components, classes outside its largest one are held against all its classes of
-   other components, in blocks of signatures; what agrees is confirmed as before. So no link that could join two
-   components is lost, while pairs within a component are never listed.
+4. Where a bucket holds several components, classes outside its largest one are held against a few of that one's
+   classes, others in each round; that joins what hangs together by other members than the least one.
+5. Where a bucket then still holds several components, classes outside its largest one are held against all its classes of
+   other components, in blocks of signatures, each pair in the first band that it shares; what agrees is confirmed as before.
+   So no link that could join two components is lost, while pairs within a component are never listed.
 
 Two sets at the threshold of 0.85 (0.8) share none of 32 bands of 5 minima with a probability of 7e-9 (3e-6); the
 signatures of such a pair fall below the margin with a probability of about 1e-9.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
+from tidemark.llm import common, repeats
 from tidemark.llm.components import components
 
 #: Defaults of near-duplicate operators here.
@@ -35,6 +37,10 @@ MARGIN = 6
 BLOCK, SALT_ROWS = 1000, 20_000
 #: Pairs of one class that one task confirms.
 PAIRS = 500
+#: Rounds with other members of a bucket's largest component, members in each.
+HUB_ROUNDS, HUBS = 3, 8
+#: Pairs that are handed on at once.
+FLUSH = 50_000
 _U = np.uint64
 
 
@@ -60,10 +66,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
 
 
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
-    """Of each nonempty set, the minima of n universal hash functions (their upper 32 bits)."""
+    """Of each nonempty set, the minima of n universal hash functions (16 bits of each, mixed)."""
     rng = np.random.default_rng(20240229)
     a, b = rng.integers(0, 2**64, n, _U) | _U(1), rng.integers(0, 2**64, n, _U)
-    out = np.empty((len(sets), n), np.uint32)
+    out = np.empty((len(sets), n), np.uint16)
     sizes = np.array([len(s) for s in sets])
     at = 0
     while at < len(sets):
@@ -74,35 +80,42 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
         x = np.concatenate(sets[at:to])
         starts = np.concatenate([[0], np.cumsum(sizes[at : to - 1])])
         for i in range(n):
-            out[at:to, i] = np.minimum.reduceat(x * a[i] + b[i], starts) >> _U(32)
+            out[at:to, i] = common.mix(np.minimum.reduceat(x * a[i] + b[i], starts)) & _U(65535)
         at = to
     return out
 
 
-def _signed(df: DataFrame, k: int, n: int) -> DataFrame:
+def _signed(texts: DataFrame, k: int, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = common.arrays(batch, "text")
+            doc = pa.array(batch.column("doc").to_numpy(), pa.int64(), mask=batch.column("no_id").to_numpy(zero_copy_only=False))
             for low, high in common.slices(raw, offsets):
                 sets = shingle_sets(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 signed = iter(signatures([sets[i] for i in full], n))
                 ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 marks = [next(signed).tobytes() if len(s) else None for s in sets]
-                yield pa.record_batch([batch.column("doc_id").slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "set_id", "sig"])
+                yield pa.record_batch([doc.slice(low, high - low), batch.column("row").slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "row", "n_shingles", "set_id", "sig"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary")
+    return texts.mapInArrow(run, "doc_id long, row long, n_shingles long, set_id binary, sig binary")
 
 
-def _sets(df: DataFrame, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = common.arrays(batch, "text")
-            for low, high in common.slices(raw, offsets):
+def _sets(k: int):
+    """Of the wanted texts of a batch, the shingle sets."""
+
+    def work(texts: pa.RecordBatch, found: list[np.ndarray], place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(place):
+            return
+        raw, offsets = common.arrays(texts, "text")
+        (doc,) = repeats.columns(texts, "doc")
+        for low, high in common.slices(raw, offsets):
+            wanted = place[(place >= low) & (place < high)]
+            if len(wanted):
                 sets = shingle_sets(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], k)
-                yield pa.record_batch([batch.column("doc_id").slice(low, high - low), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "items"])
+                yield pa.record_batch([pa.array(doc[wanted], pa.int64()), pa.array([sets[i - low].tobytes() for i in wanted.tolist()], pa.binary())], ["id", "items"])
 
-    return df.mapInArrow(run, "id long, items binary")
+    return work
 
 
 def _agreeing(pairs: DataFrame, signs: DataFrame, floor: int) -> DataFrame:
@@ -111,20 +124,20 @@ def _agreeing(pairs: DataFrame, signs: DataFrame, floor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(common.arrays(batch, c)[0], np.uint32).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+                x, y = (np.frombuffer(common.arrays(batch, c)[0], np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= floor))
 
     found = pairs.join(signs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(signs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
     return found.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, rows: DataFrame, store: tuple[str, int], k: int, percent: int) -> DataFrame:
     """Of a written table of pairs, those with 100 * intersection >= percent * union on the full sets.
 
     The set of a stands once before the sets of up to PAIRS partners, so a hub's set isn't repeated for each of its pairs.
     """
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = common.save(_sets(texts.join(involved, "doc_id", "left_semi"), k), "sets")
+    involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = common.save(repeats.at_texts(rows.join(involved, "cls", "left_semi").select("row"), *store, _sets(k), "id long, items binary"), "sets")
     sizes = common.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("salts")), "hubs")
     partners = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
     others = partners.join(sets, F.col("b") == sets.id).select("a", "salt", F.col("b").alias("id"), "items")
@@ -153,28 +166,32 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             if links:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
-    rows = heads.union(others).repartition(common.partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("id").asc_nulls_first())
-    return common.save(rows.mapInArrow(run, "a long, b long"), "links")
+    dealt = heads.union(others).repartition(common.partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("id").asc_nulls_first())
+    return common.save(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
-def _across(split: DataFrame, floor: int) -> DataFrame:
+def _across(split: DataFrame, floor: int, rows: int) -> DataFrame:
     """Agreeing pairs of classes of different components, for buckets of several components.
 
-    split: key, cls, comp, sig, n (classes of the bucket), main (its largest component), outside (classes not of main).
+    split: key, band, cls, comp, sig, n (classes of the bucket), main (its largest component), outside (classes not of main).
     """
     chunks, salts = F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("n") / SALT_ROWS)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
-    base = ["key", "cls", "comp", "sig"]
+    base = ["key", "band", "cls", "comp", "sig"]
     held = split.where("comp <> main").withColumn("chunk", F.pmod(F.xxhash64("cls"), chunks).cast("int")).withColumn("salt", numbers(salts)).select(*base, "chunk", "salt", F.lit(0).alias("kind"), F.lit(True).alias("out"))
     all_ = split.withColumn("chunk", numbers(chunks)).withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(7)), salts).cast("int")).select(*base, "chunk", "salt", F.lit(1).alias("kind"), (F.col("comp") != F.col("main")).alias("out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, cls, comp, sig = None, [], [], []
+        pairs: list[tuple[int, int]] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
+
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "salt", "kind", "cls", "comp", "out")), strict=True))
-            signs = np.frombuffer(common.arrays(batch, "sig")[0], np.uint32).reshape(len(rows), -1) if rows else None
-            pairs = []
-            for i, (key, chunk, salt, kind, c, m, out) in enumerate(rows):
+            fields = list(zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "salt", "kind", "cls", "comp", "out", "band")), strict=True))
+            signs = np.frombuffer(common.arrays(batch, "sig")[0], np.uint16).reshape(len(fields), -1) if fields else None
+            for i, (key, chunk, salt, kind, c, m, out, band) in enumerate(fields):
                 if group != (key, chunk, salt):
                     group, cls, comp, sig = (key, chunk, salt), [], [], []
                 if not kind:
@@ -183,25 +200,36 @@ def _across(split: DataFrame, floor: int) -> DataFrame:
                     sig.append(signs[i])
                     continue
                 if isinstance(sig, list):
-                    cls, comp, sig = np.array(cls, np.int64), np.array(comp, np.int64), np.array(sig).reshape(len(cls), signs.shape[1])
-                near = (comp != m) & (cls < c if out else True)
-                near = np.flatnonzero(near)
+                    cls, comp, sig = np.array(cls, np.int64), np.array(comp, np.int64), np.array(sig, np.uint16).reshape(len(cls), signs.shape[1])
+                near = np.flatnonzero((comp != m) & (cls < c if out else True))
                 if len(near):
-                    near = near[(sig[near] == signs[i]).sum(1) >= floor]
-                    pairs += [(min(c, x), max(c, x)) for x in cls[near].tolist()]
-            if pairs:
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
+                    same = sig[near] == signs[i]
+                    agree = same.sum(1) >= floor
+                    first = same[agree].reshape(-1, same.shape[1] // rows, rows).all(2).argmax(1)
+                    pairs += [(min(c, x), max(c, x)) for x in cls[near[agree][first == band]].tolist()]
+                    if len(pairs) >= FLUSH:
+                        yield made()
+                        pairs = []
+        if pairs:
+            yield made()
 
     dealt = held.union(all_).repartition(common.partitions(split.sparkSession), "key", "chunk", "salt").sortWithinPartitions("key", "chunk", "salt", "kind")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _merge(cls_comp: DataFrame | None, classes: DataFrame) -> DataFrame:
-    if cls_comp is None:
-        return classes.withColumn("comp", F.col("cls"))
+def _merge(cls_comp: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.join(cls_comp, F.col("cls") == cls_comp.node, "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
 
 
+def _mixed(links: DataFrame, banded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components; the buckets with several: key, n, main (the largest one), outside; and the buckets' classes with their components."""
+    found = common.save(components(links, "a", "b"), "components")
+    placed = common.save(_merge(found, banded.select("key", "band", "cls")), "placed")
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("comp", "c").alias("main"), F.max("c").alias("most"), F.count("*").alias("parts"))
+    return found, common.save(mixed.where("parts > 1").select("key", "n", "main", (F.col("n") - F.col("most")).alias("outside")), "mixed"), placed
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id (least id reachable over links), kept.
 
@@ -211,30 +239,41 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Other columns of df are left out.
     """
     spark = common.prepare(df.sparkSession)
-    texts = common.id_text(df, id_col, text_col)
+    store = repeats.store(common.id_text(df, id_col, text_col))
     n = bands * rows
     share = percent / 100
     floor = max(1, math.floor(n * share - MARGIN * math.sqrt(n * share * (1 - share))))
-    signed = common.save(_signed(texts, shingle, n), "signed")
+    signed = common.save(_signed(repeats.stored(spark, store[0]), shingle, n), "signed")
     classes = common.save(signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("cls")), "classes")
-    signs = common.save(signed.withColumn("cls", F.col("doc_id")).join(classes, ["set_id", "cls"]).dropDuplicates(["set_id"]).select("cls", "sig"), "signs")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * rows) + 1, F.lit(4 * rows))))
-    banded = signs.select("cls", F.explode(keys).alias("key"))
+    signs = common.save(signed.withColumn("cls", F.col("doc_id")).join(classes, ["set_id", "cls"]).dropDuplicates(["set_id"]).select("cls", "sig", "row"), "signs")
+    place = signs.select("cls", "row")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * rows) + 1, F.lit(2 * rows))))
+    banded = signs.select("cls", F.posexplode(keys).alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub < last").select("key", "hub")
     banded = common.save(banded.join(common.save(buckets, "buckets"), "key"), "banded")
 
     pairs = banded.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _confirm(common.save(_agreeing(pairs, signs, floor), "pairs"), texts, shingle, percent)
-    found = common.save(components(links, "a", "b"), "components")
-
-    placed = common.save(_merge(found, banded.select("key", "cls")), "placed")
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("comp", "c").alias("main"), F.max("c").alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", "n", "main", (F.col("n") - F.col("most")).alias("outside"))
-    split = placed.join(common.save(mixed, "mixed"), "key").join(signs, "cls")
-    more = common.save(_across(split, floor), "pairs")
-    if not more.isEmpty():
-        extra = _confirm(more, texts, shingle, percent)
-        found = common.save(components(links.union(extra), "a", "b"), "components")
+    links = _confirm(common.save(_agreeing(pairs, signs, floor), "pairs"), place, store, shingle, percent)
+    found, mixed, placed = _mixed(links, banded)
+    for r in range(HUB_ROUNDS):
+        if mixed.isEmpty():
+            break
+        inside = F.when(F.col("comp") == F.col("main"), F.col("cls"))
+        split = placed.join(mixed, "key")
+        hubs = split.groupBy("key").agg(*(F.min_by(inside, F.when(inside.isNotNull(), F.xxhash64("cls", F.lit(HUBS * r + j)))).alias(f"h{j}") for j in range(HUBS)))
+        hubs = common.save(hubs.select("key", F.array_distinct(F.array(*(f"h{j}" for j in range(HUBS)))).alias("hubs")), "hubs")
+        pairs = split.where("comp <> main").join(hubs, "key").select("cls", F.explode("hubs").alias("hub")).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).where("a < b").distinct()
+        more = _confirm(common.save(_agreeing(pairs, signs, floor), "pairs"), place, store, shingle, percent)
+        if more.isEmpty():
+            break
+        links = common.save(links.union(more), "links")
+        found, mixed, placed = _mixed(links, banded)
+    if not mixed.isEmpty():
+        split = placed.join(mixed, "key").join(signs.select("cls", "sig"), "cls")
+        more = common.save(_across(split, floor, rows), "pairs")
+        if not more.isEmpty():
+            links = links.union(_confirm(more, place, store, shingle, percent))
+            found = common.save(components(links, "a", "b"), "components")
 
     classes = common.save(_merge(found, classes), "classes")
     out = signed.select("doc_id", "n_shingles", "set_id").join(classes.select("set_id", "comp"), "set_id", "left")
