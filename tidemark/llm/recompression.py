@@ -109,7 +109,8 @@ def stretches(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...] |
         todo = np.flatnonzero(level == 0)
         best = _least_in(symbols, np.searchsorted(left, p[todo]), np.searchsorted(right, p[todo] + WIDTH, "right"))
         at, best = todo[best >= 0], best[best >= 0]
-        anchor[at], level[at], key[at] = start[best], r, common.mix(symbols[best] + _U(r * int(_A) % 2**64))
+        # All words that the anchor's parse depends on are in every window that it anchors, so they make the key.
+        anchor[at], level[at], key[at] = start[best], r, common.mix(symbols[best] + hash_windows(names, left[best], right[best] - left[best], 6 + r))
     alone = level == 0  # nothing but runs: a window is its own anchor
     key[alone] = hash_windows(names, p[alone], np.full(int(alone.sum()), WIDTH), 2)
     opens = np.ones(len(p), bool)
