@@ -27,10 +27,34 @@ _U = np.uint64
 #: Ends each document, and opens it as a context.
 END = _U(0x5851F42D4C957F2D)
 COUNTS = "owner int, block long, grams binary, seen binary, target binary, words long, tokens long, target_tokens long"
-ANSWERS = "row long, owner long, seen binary, target binary, words long"
+ANSWERS = "row long, owner long, seen binary, target binary, words long, tokens long, target_tokens long"
 OUT = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers as their bytes by significance, compressed: most high bytes are zero."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes())
+
+
+def _loosened(data: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind) if len(raw) else np.zeros(0, kind)
+
+
+def _parts(hashes: np.ndarray, n_words: int) -> bytes:
+    """Ascending words, then ascending bigrams, as differences."""
+    return _squeezed(np.concatenate([np.diff(x, prepend=x[:0] if not len(x) else _U(0)) for x in (hashes[:n_words], hashes[n_words:])]))
+
+
+def _hashes(data: bytes, n_words: int) -> np.ndarray:
+    steps = _loosened(data, _U)
+    return np.concatenate([np.cumsum(steps[:n_words], dtype=_U), np.cumsum(steps[n_words:], dtype=_U)])
+
+
 def _grams(texts: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Of the tokens of a batch, in order: text, hash, context's hash, bigram's hash."""
     raw, offsets = common.arrays(texts, "text")
@@ -72,7 +96,8 @@ def _count(owners: int):
         rows = []
         for r in range(owners):
             mine = owner == r
-            rows.append((r, block, grams[mine].tobytes(), seen[mine].tobytes(), target[mine].tobytes(), int((mine & is_word).sum()), len(text) if r == 0 else 0, int(wanted[text].sum()) if r == 0 else 0))
+            own_words = int((mine & is_word).sum())
+            rows.append((r, block, _parts(grams[mine], own_words), _squeezed(seen[mine]), _squeezed(target[mine]), own_words, len(text) if r == 0 else 0, int(wanted[text].sum()) if r == 0 else 0))
         values = list(zip(*rows, strict=True))
         yield pa.record_batch([pa.array(values[0], pa.int32()), pa.array(values[1], pa.int64()), *(pa.array(v, pa.binary()) for v in values[2:5]), *(pa.array(v, pa.int64()) for v in values[5:])], ["owner", "block", "grams", "seen", "target", "words", "tokens", "target_tokens"])
 
@@ -80,29 +105,29 @@ def _count(owners: int):
 
 
 def _answer(counts: DataFrame, owners: int) -> DataFrame:
-    """Corpus counts for each block, in the block's order. An owner holds the n-grams of its range of hashes; row -1 - owner tells its words."""
+    """Corpus counts for each block, in the block's order. An owner holds the n-grams of its share of the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for owner, block, grams, seen, target, words in zip(*(batch.column(c).to_pylist() for c in ("owner", "block", "grams", "seen", "target", "words")), strict=True):
-                held.setdefault(owner, []).append((block, np.frombuffer(grams, _U), np.frombuffer(seen, np.uint32), np.frombuffer(target, np.uint32), words))
+            for owner, block, grams, seen, target, words, *totals in zip(*(batch.column(c).to_pylist() for c in ("owner", "block", "grams", "seen", "target", "words", "tokens", "target_tokens")), strict=True):
+                held.setdefault(owner, []).append((block, _hashes(grams, words), _loosened(seen, np.uint32), _loosened(target, np.uint32), words, totals))
         for owner, rows in held.items():
             grams, place = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
             seen = np.bincount(place, np.concatenate([r[2] for r in rows]), len(grams)).astype(np.uint32)
             target = np.bincount(place, np.concatenate([r[3] for r in rows]), len(grams)).astype(np.uint32)
             word = np.zeros(len(grams), bool)
             at = 0
-            for _, g, _, _, words in rows:
+            for _, g, _, _, words, _ in rows:
                 word[place[at : at + words]] = True
                 at += len(g)
             at = 0
-            for i, (block, g, _, _, _) in enumerate(rows):
+            for i, (block, g, _, _, _, totals) in enumerate(rows):
                 mine = place[at : at + len(g)]
                 at += len(g)
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([owner], pa.int64()), pa.array([seen[mine].tobytes()], pa.binary()), pa.array([target[mine].tobytes()], pa.binary()), pa.array([int(word.sum()) if i == 0 else 0], pa.int64())], ["row", "owner", "seen", "target", "words"])
+                yield pa.record_batch([*(pa.array([x], pa.int64()) for x in (block, owner)), *(pa.array([_squeezed(x[mine])], pa.binary()) for x in (seen, target)), *(pa.array([x], pa.int64()) for x in (int(word.sum()) if i == 0 else 0, *totals))], ["row", "owner", "seen", "target", "words", "tokens", "target_tokens"])
 
-    return counts.repartitionById(owners, "owner").select("owner", "block", "grams", "seen", "target", "words").mapInArrow(run, ANSWERS)
+    return counts.repartitionById(owners, "owner").mapInArrow(run, ANSWERS)
 
 
 def _own(text: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
@@ -123,7 +148,7 @@ def _score(owners: int, vocabulary: int, tokens: int, target_tokens: int):
                 wanted[place[k]] = True
             else:
                 mine = owner == found[1][k]
-                seen[mine], target[mine] = np.frombuffer(found[2][k], np.uint32), np.frombuffer(found[3][k], np.uint32)
+                seen[mine], target[mine] = _loosened(found[2][k], np.uint32), _loosened(found[3][k], np.uint32)
         n_words = int(of_pair.min()) if len(of_pair) else 0
         of_context = np.searchsorted(grams[:n_words], context)
         size = np.bincount(text, minlength=texts.num_rows)
@@ -160,12 +185,11 @@ def cross_entropy_difference(df: DataFrame, targets: DataFrame, id_col: str = "d
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = max(common.partitions(spark), size // OWNER_BYTES)
     wanted = common.save(texts.where("not no_id").select("doc", "row").join(targets.select(F.col("doc_id").cast("long").alias("doc")).dropDuplicates(), "doc", "left_semi").select("row"), "targets")
-    counts = common.save(repeats.at_texts(wanted, path, n_files, _count(owners), COUNTS, BLOCK_ROWS), "grams")
+    counts = repeats.at_texts(wanted, path, n_files, _count(owners), COUNTS, BLOCK_ROWS)
     answers = common.save(_answer(counts, owners), "answers")
-    totals = counts.agg(F.sum("tokens").alias("tokens"), F.sum("target_tokens").alias("target")).first()
-    vocabulary = answers.agg(F.sum("words")).first()[0] or 1
+    totals = answers.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), F.sum("target_tokens").alias("target")).first()
     found = answers.select("row", "owner", "seen", "target").union(wanted.select("row", F.lit(-1).cast("long").alias("owner"), F.lit("").cast("binary").alias("seen"), F.lit("").cast("binary").alias("target")))
-    return repeats.at_texts(found, path, n_files, _score(owners, vocabulary, totals["tokens"] or 0, totals["target"] or 0), OUT, BLOCK_ROWS)
+    return repeats.at_texts(found, path, n_files, _score(owners, totals["words"] or 1, totals["tokens"] or 0, totals["target"] or 0), OUT, BLOCK_ROWS)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
