@@ -284,13 +284,13 @@ def turnover(spark, d):
 
 
 BOOK = f"""{WEIGHTS}, h AS (SELECT sym, d, r, w, lag(w) OVER (PARTITION BY sym ORDER BY d) AS held FROM w),
- p AS (SELECT d, sum(coalesce(held, 0) * coalesce(r, 0)) - 0.0005 * sum(abs(w - coalesce(held, 0))) AS net FROM h GROUP BY d), eq AS (SELECT d, net, exp(sum(ln(1 + net)) OVER (ORDER BY d)) AS equity FROM p)"""
+ p AS (SELECT d, greatest(-0.99, sum(coalesce(held, 0) * coalesce(r, 0)) - 0.0005 * sum(abs(w - coalesce(held, 0)))) AS net FROM h GROUP BY d), eq AS (SELECT d, net, exp(sum(ln(1 + net)) OVER (ORDER BY d)) AS equity FROM p)"""
 
 
 def book(spark, d) -> DataFrame:
-    """Lagged weights against returns, less costs of trading; one row a day."""
+    """Lagged weights against returns, less costs of trading; one row a day. A day loses 99 % at most, so that compounding stays defined."""
     h = inverse_vol(spark, d).withColumn("held", F.coalesce(F.lag("w").over(W.series()), F.lit(0.0)))
-    return h.groupBy("d").agg((F.sum(C("held") * F.coalesce("r", F.lit(0.0))) - 0.0005 * F.sum(F.abs(C("w") - C("held")))).alias("net"))
+    return h.groupBy("d").agg(F.greatest(F.lit(-0.99), F.sum(C("held") * F.coalesce("r", F.lit(0.0))) - 0.0005 * F.sum(F.abs(C("w") - C("held")))).alias("net"))
 
 
 def equity(p: DataFrame) -> DataFrame:
