@@ -147,7 +147,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_
     index = spark.read.schema(rows.schema).parquet(path)
     owned = own(spark, path, buckets)
     return (
-        index.select("rep", "members", "sha").join(owned, "rep").select(F.explode("members").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("text_sha256"))
+        index.select("rep", "members", "sha").join(owned.hint("merge"), "rep").select(F.explode("members").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("text_sha256"))
         .select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
     )
 
