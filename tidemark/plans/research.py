@@ -54,13 +54,23 @@ CUSUM = f"""WITH RECURSIVE {BARS_SQL}, x AS (SELECT sym, i, ln(c) - coalesce(ln(
  SELECT sym, CAST(i AS BIGINT) AS at, CAST(side AS INT) AS side FROM f WHERE side <> 0"""
 
 
-@query("cusum_events", CUSUM)
-def cusum(spark, d):
+def filtered(b: DataFrame) -> DataFrame:
     start, step = S.cusum_step(0.1)
-    x = rets(spark, d).where("i <= 400").select("sym", C("i").cast("long").alias("i"), F.log("c").alias("x"))
+    x = b.select("sym", C("i").cast("long").alias("i"), F.log("c").alias("x"))
     return S.fold(x, "sym", ["i"], ["i", "x"], start, step, "sym string, at long, side int", ["sym", "at", "side"], [pa.string(), pa.int64(), pa.int32()])
 
 
+@query("cusum_events", CUSUM)
+def cusum(spark, d):
+    """The first 400 bars of each series, as the SQL twin has them; cusum_events_whole goes on to the end."""
+    return filtered(rets(spark, d).where("i <= 400"))
+
+
+@query("cusum_events_whole")
+def cusum_whole(spark, d):
+    return filtered(rets(spark, d))
+
+
 @query("kalman_level")
 def kalman(spark, d):
     start, step = S.kalman_step(0.05, 1.0)
