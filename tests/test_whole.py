@@ -35,3 +35,39 @@ def test_cusum_goes_on_to_the_end(spark, sf, closes):
     got = collected(spark, sf, "cusum_events_whole")
     assert got == sorted(want)
     assert all(max(at for s, at, _ in got if s == sym) > 400 for sym in closes)
+
+
+def spans(closes):
+    """Every bar with a return as an event: sym, start, end."""
+    return [(sym, i, i + 5 + i % 7) for sym, cs in closes.items() for i in range(2, len(cs) + 1)]
+
+
+def test_uniqueness_counts_every_bar(spark, sf, closes):
+    want = []
+    for sym in closes:
+        mine = [(a, b) for s, a, b in spans(closes) if s == sym]
+        n = {}
+        for a, b in mine:
+            for t in range(a, b):
+                n[t] = n.get(t, 0) + 1
+        want += [(sym, a, sum(1 / n[t] for t in range(a, b)) / (b - a)) for a, b in mine]
+    got = collected(spark, sf, "average_uniqueness_whole")
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(got, sorted(want), strict=True))
+
+
+def test_every_bar_has_a_weight(spark, sf, closes):
+    assert [x[:2] for x in collected(spark, sf, "sample_weights_whole")] == sorted(x[:2] for x in spans(closes))
+
+
+def test_cpcv_tests_every_bar(spark, sf, closes):
+    """Each group is in five of the fifteen splits, so each bar is tested five times."""
+    n = {}
+    for r in entry.queries()["cpcv_membership_whole"](spark, sf).collect():
+        n[r["sym"]] = n.get(r["sym"], 0) + r["n_test"]
+    assert n == {sym: 5 * (len(cs) - 1) for sym, cs in closes.items()}
+
+
+def test_walk_forward_tests_every_bar(spark, sf, closes):
+    n = {(r["sym"], r["fold"]): r["n_test"] for r in entry.queries()["walk_forward_folds_whole"](spark, sf).collect()}
+    assert all(n[sym, 0] == 200 for sym in closes)

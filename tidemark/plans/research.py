@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from tidemark.operators import sequential as S
 from tidemark.operators import windows as W
 from tidemark.plans.features import rets
-from tidemark.plans.registry import out, query
+from tidemark.plans.registry import ORACLE, out, query
 from tidemark.sources.tables import BARS_SQL, FUNDING_SQL, TICKS_SQL, bars_1d, funding, table, ticks, trades
 
 C = F.col
@@ -153,7 +153,21 @@ def trend_scan(spark, d):
 EVENTS_SQL = f"{BARS_SQL}, ev AS (SELECT sym, i AS t0, i + 5 + (i % 7) AS t1, r FROM rets WHERE i % 3 = 0 AND r IS NOT NULL)"
 
 
+#: Every bar with a return is an event.
+WHOLE_SQL = f"{BARS_SQL}, ev AS (SELECT sym, i AS t0, i + 5 + (i % 7) AS t1, r FROM rets WHERE r IS NOT NULL)"
+
+
+def whole_events(spark, d) -> DataFrame:
+    return rets(spark, d).where("r is not null").select("sym", C("i").cast("long").alias("t0"), (C("i") + 5 + C("i") % 7).cast("long").alias("t1"), "r")
+
+
+def whole_twin(name: str) -> str:
+    """The SQL twin of a query of events, over every bar with a return."""
+    return ORACLE[name].replace(EVENTS_SQL, WHOLE_SQL)
+
+
 def events(spark, d) -> DataFrame:
+    """Every third bar, as the SQL twins have it; the queries named _whole take every bar."""
     return rets(spark, d).where("i % 3 = 0 and r is not null").select("sym", C("i").cast("long").alias("t0"), (C("i") + 5 + C("i") % 7).cast("long").alias("t1"), "r")
 
 
@@ -162,8 +176,16 @@ def events(spark, d) -> DataFrame:
     f"WITH {EVENTS_SQL}, x AS (SELECT sym, t0, unnest(generate_series(t0, t1 - 1)) AS t FROM ev), c AS (SELECT sym, t, count(*) AS n FROM x GROUP BY 1, 2) SELECT x.sym, x.t0, round(avg(1.0 / c.n), 6) AS u FROM x JOIN c USING (sym, t) GROUP BY 1, 2",
 )
 def uniqueness(spark, d):
+    return unique(events(spark, d))
+
+
+@query("average_uniqueness_whole", whole_twin("average_uniqueness"))
+def uniqueness_whole(spark, d):
+    return unique(whole_events(spark, d))
+
+
+def unique(e: DataFrame) -> DataFrame:
     """Concurrency from starts and ends as a running sum; only the events' bars are exploded."""
-    e = events(spark, d)
     x = e.select("sym", "t0", F.explode(F.sequence("t0", C("t1") - 1)).alias("t"))
     c = x.groupBy("sym", "t").agg(F.count("*").alias("n"))
     return x.join(c, ["sym", "t"]).groupBy("sym", "t0").agg(F.round(F.avg(1.0 / C("n")), 6).alias("u"))
@@ -171,8 +193,17 @@ def uniqueness(spark, d):
 
 @query("sample_weights", f"WITH {EVENTS_SQL}, w AS (SELECT sym, t0, ln(1 + 100 * abs(r)) + 1 AS w, max(t0) OVER (PARTITION BY sym) - t0 AS age FROM ev) SELECT sym, t0, round(least(greatest(w / avg(w) OVER (PARTITION BY sym) * exp(-age / 500.0), 0.05), 10), 6) AS w FROM w")
 def sample_weights(spark, d):
+    return weighted(events(spark, d))
+
+
+@query("sample_weights_whole", whole_twin("sample_weights"))
+def sample_weights_whole(spark, d):
+    return weighted(whole_events(spark, d))
+
+
+def weighted(e: DataFrame) -> DataFrame:
     p = Window.partitionBy("sym")
-    e = events(spark, d).withColumn("w", F.log(1 + 100 * F.abs("r")) + 1).withColumn("age", F.max("t0").over(p) - C("t0"))
+    e = e.withColumn("w", F.log(1 + 100 * F.abs("r")) + 1).withColumn("age", F.max("t0").over(p) - C("t0"))
     return out(e, "sym", "t0", w=F.least(F.greatest(C("w") / F.avg("w").over(p) * F.exp(-C("age") / 500.0), F.lit(0.05)), F.lit(10.0)))
 
 
@@ -182,9 +213,18 @@ def sample_weights(spark, d):
     SELECT sym, CAST(k AS INT) AS fold, count_if(t1 < a - 10 AND t0 >= a - 400) AS n_train, count_if(t0 >= a AND t0 < b) AS n_test, count_if(t0 < a AND t1 >= a - 10 AND t0 >= a - 400) AS purged FROM ev CROSS JOIN k GROUP BY sym, k""",
 )
 def walk_forward(spark, d):
+    return walked(events(spark, d))
+
+
+@query("walk_forward_folds_whole", whole_twin("walk_forward_folds"))
+def walk_forward_whole(spark, d):
+    return walked(whole_events(spark, d))
+
+
+def walked(e: DataFrame) -> DataFrame:
     """Fold descriptors (five rows) against the events; membership is a predicate, never a list."""
     k = F.explode(F.array(*(F.struct(F.lit(k).alias("fold"), F.lit(400 + 200 * k).alias("a"), F.lit(600 + 200 * k).alias("b")) for k in range(5)))).alias("k")
-    e = events(spark, d).select("sym", "t0", "t1", k).select("sym", "t0", "t1", "k.*")
+    e = e.select("sym", "t0", "t1", k).select("sym", "t0", "t1", "k.*")
     count = lambda x, name: F.count_if(F.expr(x)).alias(name)
     return e.groupBy("sym", "fold").agg(count("t1 < a - 10 and t0 >= a - 400", "n_train"), count("t0 >= a and t0 < b", "n_test"), count("t0 < a and t1 >= a - 10 and t0 >= a - 400", "purged"))
 
@@ -200,9 +240,18 @@ SPLITS = list(combinations(range(6), 2))
     FROM g CROSS JOIN s JOIN z x ON x.sym = g.sym AND x.g = a JOIN z y ON y.sym = g.sym AND y.g = b GROUP BY 1, 2""",
 )
 def cpcv(spark, d):
+    return purged_splits(events(spark, d))
+
+
+@query("cpcv_membership_whole", whole_twin("cpcv_membership"))
+def cpcv_whole(spark, d):
+    return purged_splits(whole_events(spark, d))
+
+
+def purged_splits(e: DataFrame) -> DataFrame:
     """Bounds of the six groups as arrays on each event; the 15 splits are a fixed table."""
     p = Window.partitionBy("sym")
-    g = events(spark, d).withColumn("g", F.least(F.lit(5), F.floor(C("t0") * 6 / (F.max("t0").over(p) + 1))).cast("int"))
+    g = e.withColumn("g", F.least(F.lit(5), F.floor(C("t0") * 6 / (F.max("t0").over(p) + 1))).cast("int"))
     z = g.groupBy("sym", "g").agg(F.min("t0").alias("lo"), F.max("t1").alias("hi")).groupBy("sym").agg(F.map_from_entries(F.collect_list(F.struct("g", F.struct("lo", "hi")))).alias("z"))
     s = F.explode(F.array(*(F.struct(F.lit(k).alias("split"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(SPLITS)))).alias("s")
     e = g.join(z, "sym").select("sym", "t0", "t1", "g", "z", s).select("*", "s.*").where(F.element_at("z", C("a")).isNotNull() & F.element_at("z", C("b")).isNotNull())
