@@ -71,3 +71,15 @@ def test_cpcv_tests_every_bar(spark, sf, closes):
 def test_walk_forward_tests_every_bar(spark, sf, closes):
     n = {(r["sym"], r["fold"]): r["n_test"] for r in entry.queries()["walk_forward_folds_whole"](spark, sf).collect()}
     assert all(n[sym, 0] == 200 for sym in closes)
+
+
+def test_minimum_variance_weighs_all_symbols(spark, sf, closes):
+    """At the least variance all symbols with a weight add the same risk, the others more; moments are those of common days."""
+    con = connect(sf)
+    moments = con.execute(f"WITH {BARS_SQL} SELECT a.sym, b.sym, covar_samp(a.r, b.r) FROM rets a JOIN rets b USING (d) GROUP BY 1, 2").fetchall()
+    w = dict(collected(spark, sf, "minimum_variance"))
+    assert sorted(w) == sorted(closes) and len(w) == 6
+    assert abs(sum(w.values()) - 1) < 1e-3
+    risk = {x: sum(c * w[y] for s, y, c in moments if s == x) for x in w}
+    least = sum(risk[x] * w[x] for x in w)
+    assert all(abs(risk[x] / least - 1) < 0.01 if w[x] > 0 else risk[x] > 0.99 * least for x in w)

@@ -281,15 +281,22 @@ def bootstrap_sharpe(spark, d):
 
 @query("minimum_variance")
 def minimum_variance(spark, d):
-    """Long-only weights of least variance from the pairwise moments of the symbols (a matrix of their number squared), by projected gradient."""
-    a = rets(spark, d).where("r is not null").groupBy("d").pivot("sym", ["AF", "NF", "NO", "RF"]).agg(F.max("r")).na.drop()
-    names = ["AF", "NF", "NO", "RF"]
+    """Long-only weights of least variance over all symbols with returns, from the moments of each pair's common days (a matrix of their number squared), by projected gradient."""
+    b = rets(spark, d).where("r is not null")
+    names = sorted(r["sym"] for r in b.select("sym").distinct().collect())
+    if not names:
+        return spark.createDataFrame([], "sym string, w double")
+    a = b.groupBy("d").pivot("sym", names).agg(F.max("r"))
     row = a.agg(*(F.covar_samp(x, y).alias(f"{x}{y}") for x in names for y in names)).first()
-    cov = np.array([row[f"{x}{y}"] if row[f"{x}{y}"] is not None else float(x == y) for x in names for y in names], float).reshape(4, 4)
-    w = np.full(4, 0.25)
+    n = len(names)
+    cov = np.array([row[f"{x}{y}"] if row[f"{x}{y}"] is not None else float(x == y) for x in names for y in names], float).reshape(n, n)
+    # Moments of different days need not fit together: the nearest matrix that is a covariance.
+    values, vectors = np.linalg.eigh(cov)
+    cov = (vectors * np.maximum(values, 0)) @ vectors.T
+    w = np.full(n, 1 / n)
     for _ in range(5000):
         w = w - cov @ w / np.trace(cov)
         u = np.sort(w)[::-1]
-        k = np.flatnonzero(u - (np.cumsum(u) - 1) / np.arange(1, 5) > 0)[-1]
+        k = np.flatnonzero(u - (np.cumsum(u) - 1) / np.arange(1, n + 1) > 0)[-1]
         w = np.maximum(w - (np.cumsum(u)[k] - 1) / (k + 1), 0)
     return spark.createDataFrame([(n, round(float(x), 4)) for n, x in zip(names, w, strict=True)], "sym string, w double")
