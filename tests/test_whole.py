@@ -68,9 +68,18 @@ def test_cpcv_tests_every_bar(spark, sf, closes):
     assert n == {sym: 5 * (len(cs) - 1) for sym, cs in closes.items()}
 
 
-def test_walk_forward_tests_every_bar(spark, sf, closes):
-    n = {(r["sym"], r["fold"]): r["n_test"] for r in entry.queries()["walk_forward_folds_whole"](spark, sf).collect()}
-    assert all(n[sym, 0] == 200 for sym in closes)
+def test_walk_forward_goes_on_to_the_end(spark, sf, closes):
+    """Every bar from 400 on is in one test fold."""
+    want = []
+    for sym, cs in closes.items():
+        mine = [(a, b) for s, a, b in spans(closes) if s == sym]
+        for k in range((len(cs) - 400) // 200 + 1):
+            a = 400 + 200 * k
+            before = [(x, y) for x, y in mine if a - 400 <= x < a]
+            want.append((sym, k, sum(y < a - 10 for _, y in before), sum(a <= x < a + 200 for x, _ in mine), sum(y >= a - 10 for _, y in before)))
+    got = collected(spark, sf, "walk_forward_folds_whole")
+    assert got == sorted(want)
+    assert all(sum(x[3] for x in got if x[0] == sym) == len(cs) - 399 for sym, cs in closes.items())
 
 
 def test_minimum_variance_weighs_all_symbols(spark, sf, closes):

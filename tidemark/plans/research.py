@@ -216,15 +216,29 @@ def walk_forward(spark, d):
     return walked(events(spark, d))
 
 
-@query("walk_forward_folds_whole", whole_twin("walk_forward_folds"))
+@query(
+    "walk_forward_folds_whole",
+    f"""WITH {WHOLE_SQL}, k AS (SELECT sym, k, 400 + k * 200 AS a, 600 + k * 200 AS b FROM (SELECT sym, unnest(generate_series(0, (max(i) - 400) // 200)) AS k FROM rets GROUP BY sym HAVING max(i) >= 400))
+    SELECT sym, CAST(k AS INT) AS fold, count_if(t1 < a - 10 AND t0 >= a - 400) AS n_train, count_if(t0 >= a AND t0 < b) AS n_test, count_if(t0 < a AND t1 >= a - 10 AND t0 >= a - 400) AS purged FROM ev JOIN k USING (sym) GROUP BY sym, k""",
+)
 def walk_forward_whole(spark, d):
-    return walked(whole_events(spark, d))
+    """Folds up to the last bar of each series, whose last fold may be short. An event meets only the three folds that it can belong to."""
+    last = F.max("i").over(Window.partitionBy("sym"))
+    e = rets(spark, d).withColumn("folds", F.floor((last - 400) / 200).cast("int")).where("r is not null")
+    e = e.select("sym", C("i").cast("long").alias("t0"), (C("i") + 5 + C("i") % 7).cast("long").alias("t1"), "folds")
+    first = F.floor((C("t0") - 400) / 200).cast("int")
+    e = e.select("sym", "t0", "t1", "folds", F.explode(F.sequence(first, first + 2)).alias("fold")).where("fold between 0 and folds")
+    return fold_counts(e.withColumn("a", 400 + 200 * C("fold")).withColumn("b", C("a") + 200))
 
 
 def walked(e: DataFrame) -> DataFrame:
     """Fold descriptors (five rows) against the events; membership is a predicate, never a list."""
     k = F.explode(F.array(*(F.struct(F.lit(k).alias("fold"), F.lit(400 + 200 * k).alias("a"), F.lit(600 + 200 * k).alias("b")) for k in range(5)))).alias("k")
     e = e.select("sym", "t0", "t1", k).select("sym", "t0", "t1", "k.*")
+    return fold_counts(e)
+
+
+def fold_counts(e: DataFrame) -> DataFrame:
     count = lambda x, name: F.count_if(F.expr(x)).alias(name)
     return e.groupBy("sym", "fold").agg(count("t1 < a - 10 and t0 >= a - 400", "n_train"), count("t0 >= a and t0 < b", "n_test"), count("t0 < a and t1 >= a - 10 and t0 >= a - 400", "purged"))
 
