@@ -108,7 +108,7 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
 
 def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, wide: int = WIDE) -> DataFrame:
-    """df with MASK in place of every base candidate's value unless many owners carry it; n_chars, where df has it, follows the text.
+    """df with MASK in place of every base candidate's value unless many owners carry it, and of every live token; n_chars, where df has it, follows the text.
 
     Overlapping values are masked as one. Texts without such values stay as they are, null ones too. All rows and columns are kept.
     """
@@ -122,7 +122,8 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: C
         some = some | F.col(k).isNotNull()
     scanned = common.save(texts.where(some).withColumn("row", F.monotonically_increasing_id()), "scanned")
     found = common.save(candidates(scanned), "candidates")
-    hidden = judge(found, wide).where((F.col("kind") < len(BASE)) & ~F.col("example"))
+    base = F.col("kind") < len(BASE)
+    hidden = judge(found, wide).where((base & ~F.col("example")) | (~base & F.col("live")))
     cuts = hidden.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.col("at").cast("int").alias("at"), F.col("end").cast("int").alias("end")))).alias("cuts"))
     cuts = cuts.join(scanned.select("row", "key_id", "key_sha"), "row").dropDuplicates(["key_id", "key_sha"]).drop("row")
     text = F.col(text_col)
