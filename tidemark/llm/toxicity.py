@@ -81,7 +81,7 @@ def evidence(scores: list[float], n: int, lam: float, k: float) -> float:
     """-log of the sum statistic's p-value for the best number of segments; 0 or more."""
     best, total = 0.0, 0.0
     log_kn = math.log(k * max(n, 1))
-    for r, s in enumerate(sorted(scores, reverse=True)[:50], 1):
+    for r, s in enumerate(sorted(scores, reverse=True), 1):
         total += lam * s - log_kn
         x = total + math.lgamma(r + 1)
         if x > 0:
