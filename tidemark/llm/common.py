@@ -20,6 +20,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Text bytes that are hashed at once; bounds a worker's memory.
 SLICE = 1 << 20
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 256
 ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 _U = np.uint64
@@ -74,7 +76,15 @@ def save(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or shared_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    return table
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables of save (or paths) that nothing reads any more, so that the shared folder holds what is in use."""
+    for x in tables:
+        drop_path(spark, x if isinstance(x, str) else x.saved_at)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +143,46 @@ def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """At each byte, it and the seven behind it as one number."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """For each salt, a 64-bit hash of each raw[start:end].
+
+    A word is cut into lanes of eight bytes. Each is mixed with its place and the length before they are added up, so no
+    algebra of the bytes carries over to the sum; a word of up to eight bytes is mixed one to one, given its length.
+    """
+    sizes, lanes, step = ends - starts, _lanes(raw), _U(0xD6E8FEB86659FD93)
+    out = [np.zeros(len(starts), _U) for _ in salts]
+    seeds = [mix(np.array([_BASE + 2 * salt], _U))[0] for salt in salts]
+    masks = (_U(1) << (np.arange(8, dtype=_U) * _U(8))) - _U(1)
+    masks = np.append(masks, ~_U(0))
+    long = np.flatnonzero(sizes > LONG_WORD)
+    some = np.flatnonzero(sizes <= LONG_WORD) if len(long) else None
+    for j in range(0, int(min(sizes.max(), LONG_WORD)) if len(sizes) else 0, 8):
+        if j or some is not None:
+            some = np.flatnonzero((sizes > j) & (sizes <= LONG_WORD)) if some is None else some[sizes[some] > j]
+        begin, size = (starts, sizes) if some is None else (starts[some], sizes[some])
+        lane = lanes[begin + j] & masks[np.minimum(size - j, 8)]
+        place = (size.astype(_U) + _U(j << 32)) * step
+        for seed, h in zip(seeds, out, strict=True):
+            if some is None:
+                h += mix(mix(lane + seed) + place)
+            else:
+                h[some] += mix(mix(lane + seed) + place)
+    for i in long.tolist():  # by itself: as many lanes as it takes
+        n = int(sizes[i])
+        at = np.arange(0, n, 8)
+        lane = lanes[starts[i] + at] & masks[np.minimum(n - at, 8)]
+        place = (_U(n) + (at.astype(_U) << _U(32))) * step
+        for seed, h in zip(seeds, out, strict=True):
+            h[i] = mix(mix(lane + seed) + place).sum(dtype=_U)
+    return [mix(h) for h in out]
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, salts: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """The words of a batch of texts: starts, ends, the index of the first word of each text (and the total), hashes for each salt."""
     inside = ~SPACE[raw]
@@ -144,15 +194,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, salts: tuple[int, ...] = (0,)) -
     stop[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
     first = np.searchsorted(starts, offsets)
-    hashes = [np.empty(len(starts), _U) for _ in salts]
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE, "right")))
-        low, high = starts[at], ends[to - 1]
-        for salt, out in zip(salts, hashes, strict=True):
-            out[at:to] = range_hashes(raw[low:high], starts[at:to] - low, ends[at:to] - low, salt)
-        at = to
-    return starts, ends, first, hashes
+    return starts, ends, first, word_hashes(raw, starts, ends, salts)
 
 
 def slices(raw: np.ndarray, offsets: np.ndarray, size: int = SLICE):
@@ -162,14 +204,3 @@ def slices(raw: np.ndarray, offsets: np.ndarray, size: int = SLICE):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, to
         at = to
-
-
-def in_rows(batches, rows: int = 50_000):
-    """Arrow tables as batches of bounded size."""
-    for table in batches:
-        yield from table.to_batches(max_chunksize=rows)
-
-
-def hex_key(column: Column) -> Column:
-    """The first 60 bits of a hexadecimal digest as a long."""
-    return F.conv(F.substring(column, 1, 15), 16, 10).cast("long")
