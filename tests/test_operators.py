@@ -2,13 +2,18 @@
 
 import datetime
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import sequential as S
 from tidemark.operators import timeline as T
+from tidemark.operators import windows as W
+from tidemark.plans import research
 from tidemark.sources import store
 from tidemark.streaming import live
 
@@ -82,10 +87,19 @@ def test_upsert(spark):
     assert sorted(tuple(r) for r in store.upsert(old, new, ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def files(e, path, latest_first=False):
+    """Three files of events by day, written one after the other: the file source reads them in that order."""
+    days = [r["d"] for r in e.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()][:: -1 if latest_first else 1]
+    size = -(-len(days) // 3)
+    for i in range(0, len(days), size):
+        e.where(F.to_date("ts").isin(days[i : i + size])).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+
+
 @pytest.fixture
 def stream(spark, sf, tmp_path):
     path = str(tmp_path / "events")
-    spark.read.parquet(f"{sf}/events.parquet").repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(path)
+    files(spark.read.parquet(f"{sf}/events.parquet"), path)
     return path
 
 
@@ -113,12 +127,75 @@ def test_streamed_last_quotes(spark, sf, stream):
     assert got == {r["sym"]: (r["p"], r["n"]) for r in want}
 
 
-def test_streamed_events_are_the_batch_events(spark, sf, stream):
-    """One step function, two drivers; micro-batches come in order of time."""
+def test_streamed_events_are_the_batch_events(spark, sf, tmp_path):
+    """One step function, two drivers. Files arrive in the wrong order; a last row, far ahead, moves the watermark past all others."""
+    path = str(tmp_path / "events")
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    files(e, path, latest_first=True)
+    e.limit(1).withColumn("ts", F.expr("timestamp_ntz'2031-01-01'")).withColumn("event_type", F.lit("end")).coalesce(1).write.mode("append").parquet(path)
     start, step = S.cusum_step(50.0)
-    t = live.tick_stream(spark, stream)
-    got = drain(live.stateful(t, "sym", ["ts", "seq"], ["seq", "price"], start, step, "sym string, at long, side int", "last double, up double, down double"), "events", "append")
+    t = live.tick_stream(spark, path)
+    got = drain(live.stateful(t, "sym", ["ts", "seq"], ["seq", "price"], start, step, "sym string, at long, side int", "last double, up double, down double", late="60 days"), "events", "append")
     from tidemark.sources.tables import ticks
 
     want = S.fold(ticks(spark, sf), "sym", ["ts", "seq"], ["seq", "price"], *S.cusum_step(50.0), "sym string, at long, side int", ["sym", "at", "side"], [pa.string(), pa.int64(), pa.int32()])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_streamed_sessions_and_dedup(spark, sf, tmp_path):
+    path = str(tmp_path / "events")
+    e = spark.read.parquet(f"{sf}/events.parquet").limit(400)
+    e.union(e).coalesce(1).write.parquet(path)
+    e.limit(1).withColumn("ts", F.expr("timestamp_ntz'2031-01-01'")).withColumn("event_id", F.lit(-1).cast("long")).coalesce(1).write.mode("append").parquet(path)
+    t = live.deduplicated(live.tick_stream(spark, path, 9), "1 hour")
+    got = drain(t, "single", "append")
+    assert got.count() == 401
+    found = drain(live.sessions(live.tick_stream(spark, path, 1), "30 minutes", "1 hour"), "sessions", "append")
+    assert sum(r["n"] for r in found.collect()) == 800
+
+
+def run_steps(maker, rows):
+    start, step = maker
+    state = start()
+    return [x for row in rows for x in step(state, row)]
+
+
+def test_imbalance_steps():
+    bars = run_steps(S.imbalance_step(10.0), [(1, 5.0, 6.0, 1), (2, 7.0, 6.0, 1), (3, 6.0, 4.0, -1), (4, 4.0, 9.0, -1)])
+    assert bars == [(2, 5.0, 7.0, 5.0, 7.0, 12.0, 2), (4, 7.0, 7.0, 4.0, 4.0, 13.0, 2)]  # 12 closes, 2 stay: 2 - 4 - 9 = -11
+
+
+def test_kalman_steps():
+    (a, x, p), (b, y, q) = run_steps(S.kalman_step(0.5, 1.0), [(1, 2.0), (2, 5.0)])
+    assert (a, x, p, b) == (1, 2.0, 1.0, 2) and abs(y - (2 + 3 * 0.6)) < 1e-12 and abs(q - 0.6) < 1e-12
+
+
+def test_breaker_steps():
+    found = run_steps(S.breaker_step(0.2, 0.1), [(1, 100.0), (2, 85.0), (3, 79.0), (4, 88.0), (5, 91.0)])
+    assert [h for *_, h in found] == [False, False, True, True, False]
+
+
+def test_ewm_steps():
+    values = [1.0, None, 3.0, 4.0]
+    want = pd.Series(values)
+    for adjust in (True, False):
+        got = [v for _, v in run_steps(S.ewm_step(0.3, adjust), list(enumerate(values)))]
+        assert np.allclose(got, want.ewm(alpha=0.3, adjust=adjust).mean())
+
+
+def test_seeded_variance_steps():
+    got = [v for _, v in run_steps(S.seeded_variance_step(0.9, 2), [(0, None), (1, 1.0), (2, 3.0), (3, 2.0), (4, 0.0)])]
+    assert got[:3] == [None] * 3 and np.allclose(got[3:], [5.0, 0.9 * 5 + 0.1 * 4])
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(100)], "i long, x double")
+    found = W.running_max(W.running(df, "i", F.floor(F.col("i") / 9), total=F.col("x")), "i", "top", "x").orderBy("i").collect()
+    assert [r["total"] for r in found] == list(np.cumsum([i % 7 for i in range(100)])) and [r["top"] for r in found][:8] == [0, 1, 2, 3, 4, 5, 6, 6]
+
+
+def test_ruin_stays_ruin(spark):
+    days = [("2020-01-01", 0.5), ("2020-01-20", -1.2), ("2020-02-03", 0.3)]
+    p = spark.createDataFrame(days, "d string, net double").withColumn("d", F.to_date("d"))
+    found = research.equity(p).orderBy("d").collect()
+    assert [r["equity"] for r in found][1:] == [0.0, 0.0] and [r["drawdown"] for r in found] == [0.0, 1.0, 1.0]

@@ -32,7 +32,7 @@ def test_cusum_goes_on_to_the_end(spark, sf, closes):
             if up >= 0.1 or down <= -0.1:
                 want.append((sym, i + 1, 1 if up >= 0.1 else -1))
                 up = down = 0.0
-    got = collected(spark, sf, "cusum_events_whole")
+    got = collected(spark, sf, "cusum_events")
     assert got == sorted(want)
     assert all(max(at for s, at, _ in got if s == sym) > 400 for sym in closes)
 
@@ -51,19 +51,19 @@ def test_uniqueness_counts_every_bar(spark, sf, closes):
             for t in range(a, b):
                 n[t] = n.get(t, 0) + 1
         want += [(sym, a, sum(1 / n[t] for t in range(a, b)) / (b - a)) for a, b in mine]
-    got = collected(spark, sf, "average_uniqueness_whole")
+    got = collected(spark, sf, "average_uniqueness")
     assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
     assert all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(got, sorted(want), strict=True))
 
 
 def test_every_bar_has_a_weight(spark, sf, closes):
-    assert [x[:2] for x in collected(spark, sf, "sample_weights_whole")] == sorted(x[:2] for x in spans(closes))
+    assert [x[:2] for x in collected(spark, sf, "sample_weights")] == sorted(x[:2] for x in spans(closes))
 
 
 def test_cpcv_tests_every_bar(spark, sf, closes):
     """Each group is in five of the fifteen splits, so each bar is tested five times."""
     n = {}
-    for r in entry.queries()["cpcv_membership_whole"](spark, sf).collect():
+    for r in entry.queries()["cpcv_membership"](spark, sf).collect():
         n[r["sym"]] = n.get(r["sym"], 0) + r["n_test"]
     assert n == {sym: 5 * (len(cs) - 1) for sym, cs in closes.items()}
 
@@ -77,7 +77,7 @@ def test_walk_forward_goes_on_to_the_end(spark, sf, closes):
             a = 400 + 200 * k
             before = [(x, y) for x, y in mine if a - 400 <= x < a]
             want.append((sym, k, sum(y < a - 10 for _, y in before), sum(a <= x < a + 200 for x, _ in mine), sum(y >= a - 10 for _, y in before)))
-    got = collected(spark, sf, "walk_forward_folds_whole")
+    got = collected(spark, sf, "walk_forward_folds")
     assert got == sorted(want)
     assert all(sum(x[3] for x in got if x[0] == sym) == len(cs) - 399 for sym, cs in closes.items())
 

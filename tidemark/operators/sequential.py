@@ -11,9 +11,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.functions.shipping import ship
+
 
 def fold(df: DataFrame, by: str, order: list[str], columns: list[str], start: Callable[[], dict], step: Callable[[dict, tuple], list[tuple]], schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
     """step(state, row of columns) changes the state and returns output rows; each output row gets the series' key in front."""
+    ship(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,3 +169,38 @@ def breaker_step(trip: float, resume: float) -> tuple[Callable[[], dict], Callab
         return [(at, drawdown, s["halted"])]
 
     return lambda: {"peak": float("-inf"), "halted": False}, step
+
+
+def ewm_step(alpha: float, adjust: bool) -> tuple[Callable[[], dict], Callable]:
+    """Exponentially weighted mean over all rows so far: (time, mean). A null x takes part in no sum, but weights decay over its place.
+
+    adjust=False seeds the first value with full weight.
+    """
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        at, x = row
+        s["total"], s["weight"] = s["total"] * (1 - alpha), s["weight"] * (1 - alpha)
+        if x is not None:
+            w = 1.0 if adjust or not s["seen"] else alpha
+            s["total"], s["weight"], s["seen"] = s["total"] + w * x, s["weight"] + w, True
+        return [(at, s["total"] / s["weight"] if s["seen"] else None)]
+
+    return lambda: {"total": 0.0, "weight": 0.0, "seen": False}, step
+
+
+def seeded_variance_step(decay: float, burn_in: int) -> tuple[Callable[[], dict], Callable]:
+    """Variance known before the bar: (time, variance). The mean of the first burn_in squares is the seed; from there v = decay * v + (1 - decay) * square."""
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        at, x = row
+        known = s["v"]
+        if x is not None:
+            s["n"] += 1
+            if s["n"] <= burn_in:
+                s["sum"] += x * x
+                s["v"] = s["sum"] / burn_in if s["n"] == burn_in else None
+            else:
+                s["v"] = decay * s["v"] + (1 - decay) * x * x
+        return [(at, known)]
+
+    return lambda: {"v": None, "n": 0, "sum": 0.0}, step

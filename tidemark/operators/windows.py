@@ -29,9 +29,10 @@ def full(value: Column, x: Column, n: int, frame: WindowSpec) -> Column:
 
 
 def returns(bars: DataFrame) -> DataFrame:
-    """Adds r, lr (log) and the row number i within the series."""
+    """Adds r, lr (log) and the row number i within the series; behind a close of zero there is no return."""
     w = series()
-    return bars.withColumn("r", F.col("c") / F.lag("c").over(w) - 1).withColumn("lr", F.log(F.col("c") / F.lag("c").over(w))).withColumn("i", F.row_number().over(w))
+    ratio = F.try_divide(F.col("c"), F.lag("c").over(w))
+    return bars.withColumn("r", ratio - 1).withColumn("lr", F.log(ratio)).withColumn("i", F.row_number().over(w))
 
 
 def rolling(x: Column, how: str, n: int, by: str = "sym", order: str = "d") -> Column:
@@ -57,22 +58,6 @@ def winsor_rolling(x: Column, n: int, low: float, high: float, by: str = "sym",
     return F.when(F.count(x).over(f) >= n, F.least(F.greatest(x, F.percentile(x, low).over(f)), F.percentile(x, high).over(f)))
 
 
-def ewm(x: Column, alpha: float, i: Column, adjust: bool, frame: WindowSpec) -> Column:
-    """Exponentially weighted mean in closed form: weights relative to the current row's place i, so that they neither over- nor underflow where the frame is bounded.
-
-    A null x takes part in neither sum; weights decay by place. adjust=False seeds the first value with full weight.
-    """
-    rows = F.filter(F.collect_list(F.struct(i.alias("i"), x.alias("x"))).over(frame), lambda r: r["x"].isNotNull())
-    none = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("weight"))
-
-    def add(acc: Column, r: Column) -> Column:
-        w = F.pow(F.lit(1 - alpha), i - r["i"])
-        w = w if adjust else w * F.when(acc["weight"] == 0, 1.0).otherwise(alpha)
-        return F.struct((acc["total"] + w * r["x"]).alias("total"), (acc["weight"] + w).alias("weight"))
-
-    return F.aggregate(rows, none, add, lambda acc: F.when(acc["weight"] > 0, acc["total"] / acc["weight"]))
-
-
 def rank_average(x: Column, by: WindowSpec) -> Column:
     """1-based ranks; ties get their mean. by: the partition."""
     ordered = by.orderBy(x)
@@ -84,3 +69,30 @@ def islands(df: DataFrame, state: str, by: str = "sym", order: str = "d") -> Dat
     w = series(by, order)
     change = F.when(F.col(state).eqNullSafe(F.lag(state).over(w)) & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1)
     return df.withColumn("_c", change).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+
+
+def running(df: DataFrame, order: str, bucket: Column, **sums: Column) -> DataFrame:
+    """Adds running sums over the whole table in two steps: within buckets of the order, then over the buckets' totals, which are few.
+
+    bucket has to rise with order. So no task sees all rows, only all buckets.
+    """
+    inner = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_b", bucket)
+    for name, x in sums.items():
+        df = df.withColumn(name, x)
+    totals = df.groupBy("_b").agg(*(F.sum(n).alias(n) for n in sums))
+    before = totals.select("_b", *(F.coalesce(F.sum(n).over(outer), F.lit(0)).alias(f"_{n}") for n in sums))
+    joined = df.join(before, df["_b"].eqNullSafe(before["_b"])).drop(before["_b"])
+    for n in sums:
+        joined = joined.withColumn(n, F.coalesce(F.sum(n).over(inner), F.lit(0)) + F.col(f"_{n}"))
+    return joined.drop(*(f"_{n}" for n in sums))
+
+
+def running_max(df: DataFrame, order: str, name: str, x: str) -> DataFrame:
+    """Adds the greatest x so far to a result of running, by its buckets."""
+    inner = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = df.groupBy("_b").agg(F.max(x).alias("_m")).select("_b", F.max("_m").over(outer).alias("_m"))
+    joined = df.join(before, df["_b"].eqNullSafe(before["_b"])).drop(before["_b"])
+    return joined.withColumn(name, F.greatest(F.max(x).over(inner), "_m")).drop("_m")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tidemark.operators import timeline as T
 from tidemark.plans.features import rets
 from tidemark.plans.registry import out, query
-from tidemark.sources.tables import BARS_SQL, FUNDING_SQL, TICKS_SQL, bars_1d, funding, table, ticks
+from tidemark.sources.tables import BARS_SQL, FUNDING_SQL, SYMBOLS, TICKS_SQL, bars_1d, funding, table, ticks
 
 C = F.col
 
@@ -123,10 +123,10 @@ def membership(spark, d):
     return T.asof_join(days, e, "d", ["member"], ["action"], F.expr("interval 10000 days")).where("action = 'add'").select("member", "d")
 
 
-@query("close_panel_pivot", f"WITH {BARS_SQL} SELECT d, " + ", ".join(f"round(max(CASE WHEN sym = '{s}' THEN c END), 8) AS {s.lower()}" for s in ("AF", "NF", "NO", "RF")) + " FROM bars GROUP BY d")
+@query("close_panel_pivot", f"WITH {BARS_SQL} SELECT d, " + ", ".join(f"round(max(CASE WHEN sym = '{s}' THEN c END), 8) AS {s.lower()}" for s in SYMBOLS) + " FROM bars GROUP BY d")
 def close_panel(spark, d):
-    p = bars_1d(spark, d).groupBy("d").pivot("sym", ["AF", "NF", "NO", "RF"]).agg(F.max("c"))
-    return p.select("d", *(F.round(s, 8).alias(s.lower()) for s in ("AF", "NF", "NO", "RF")))
+    p = bars_1d(spark, d).groupBy("d").pivot("sym", SYMBOLS).agg(F.max("c"))
+    return p.select("d", *(F.round(s, 8).alias(s.lower()) for s in SYMBOLS))
 
 
 @query("dedup_keep_last", "SELECT user_id, event_type, max(event_id) AS event_id, round(max_by(value, (ts, event_id)), 6) AS value FROM events GROUP BY user_id, event_type".replace("max(event_id) AS event_id", "max_by(event_id, (ts, event_id)) AS event_id"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import sequential as S
 from tidemark.operators import windows as W
 from tidemark.plans.registry import out, query
 from tidemark.sources.tables import BARS_SQL, FUNDING_SQL, TICKS_SQL, bars_1d, funding, ticks
@@ -116,32 +118,43 @@ def vol_bns(spark, d):
     return out(e, "sym", "d", v=W.full(F.greatest(F.sum("q").over(f) - math.pi / 2 * F.sum("b").over(f), F.lit(0.0)), C("b"), 20, f))
 
 
-def _ewm(name: str, x: str, alpha: float, adjust: bool, depth: int):
-    """Exponentially weighted mean over at most depth rows; what lies further back weighs less than 1e-12."""
+def _ewm(name: str, x: str, alpha: float, adjust: bool):
+    """Exponentially weighted mean over all rows so far, streamed through."""
     seed = "1.0" if adjust else f"CASE WHEN b.i = m.i0 THEN 1.0 ELSE {alpha} END"
-    sql = f"""WITH {BARS_SQL}, m AS (SELECT sym, d, i, greatest(i - {depth - 1}, min(CASE WHEN {x} IS NOT NULL THEN i END) OVER (PARTITION BY sym)) AS i0 FROM rets)
-    SELECT m.sym, m.d, round(sum(pow({1 - alpha}, m.i - b.i) * {seed} * b.{x}) / sum(pow({1 - alpha}, m.i - b.i) * {seed}), 6) AS v
-    FROM m LEFT JOIN rets b ON b.sym = m.sym AND b.i <= m.i AND b.i > m.i - {depth} AND b.{x} IS NOT NULL GROUP BY m.sym, m.d"""
+    sql = f"""WITH {BARS_SQL}, m AS (SELECT sym, d, i, min(CASE WHEN {x} IS NOT NULL THEN i END) OVER (PARTITION BY sym) AS i0 FROM rets)
+    SELECT m.sym, CAST(m.i AS BIGINT) AS at, round(sum(pow({1 - alpha}, m.i - b.i) * {seed} * b.{x}) / sum(pow({1 - alpha}, m.i - b.i) * {seed}), 6) AS v
+    FROM m LEFT JOIN rets b ON b.sym = m.sym AND b.i <= m.i AND b.{x} IS NOT NULL GROUP BY m.sym, m.i"""
 
     @query(name, sql)
     def run(spark, d):
-        return out(rets(spark, d), "sym", "d", v=W.ewm(C(x), alpha, C("i"), adjust, W.trailing(depth)))
+        return folded(rets(spark, d).withColumn("x", C(x)), S.ewm_step(alpha, adjust), "x")
 
 
-_ewm("ewm_adjust_true", "lr", 0.2, True, 128)
-_ewm("ewm_adjust_false", "c", 0.2, False, 128)
+def folded(b: DataFrame, maker, x: str) -> DataFrame:
+    """sym, at (the row's number), v: what a step function of one value gives for each row."""
+    start, step = maker
+    b = b.select("sym", C("i").cast("long").alias("i"), C(x).alias("x"))
+    done = S.fold(b, "sym", ["i"], ["i", "x"], start, step, "sym string, at long, v double", ["sym", "at", "v"], [pa.string(), pa.int64(), pa.float64()])
+    return out(done, "sym", "at", v=C("v"))
+
+
+_ewm("ewm_adjust_true", "lr", 0.2, True)
+_ewm("ewm_adjust_false", "c", 0.2, False)
 
 
 @query(
     "vol_ewma94",
-    f"""WITH {BARS_SQL} SELECT m.sym, m.d, round(sqrt(sum(pow(0.94, m.i - b.i) * b.lr * b.lr) / sum(pow(0.94, m.i - b.i))), 6) AS v
-    FROM rets m JOIN rets b ON b.sym = m.sym AND b.i < m.i AND b.i >= m.i - 250 AND b.lr IS NOT NULL WHERE m.i > 21 GROUP BY m.sym, m.d""",
+    f"""WITH {BARS_SQL}, k AS (SELECT sym, i, lr, count(lr) OVER (PARTITION BY sym ORDER BY i) AS n FROM rets), s AS (SELECT sym, avg(lr * lr) AS seed, max(i) AS i0 FROM k WHERE n <= 20 AND lr IS NOT NULL GROUP BY sym),
+    e AS (SELECT m.sym, m.i, pow(0.94, m.i - 1 - s.i0) * any_value(s.seed) + coalesce(sum(0.06 * pow(0.94, m.i - 1 - b.i) * b.lr * b.lr), 0) AS v
+    FROM k m JOIN s USING (sym) LEFT JOIN k b ON b.sym = m.sym AND b.i > s.i0 AND b.i < m.i AND b.lr IS NOT NULL WHERE m.i > s.i0 GROUP BY m.sym, m.i, s.i0)
+    SELECT m.sym, CAST(m.i AS BIGINT) AS at, round(sqrt(e.v), 6) AS v FROM rets m LEFT JOIN e USING (sym, i)""",
 )
 def vol_ewma94(spark, d):
-    """Known before the bar: the weights end at the bar before; 20 returns at least."""
-    f = W.series().rowsBetween(-250, -1)
-    x = rets(spark, d).withColumn("v", W.ewm(C("lr") ** 2, 0.06, C("i"), True, f)).where("i > 21")
-    return out(x, "sym", "d", v=F.sqrt("v"))
+    """Known before the bar: seeded with the mean square of 20 returns, then a recursion without an end."""
+    start, step = S.seeded_variance_step(0.94, 20)
+    b = rets(spark, d).select("sym", C("i").cast("long").alias("i"), "lr")
+    done = S.fold(b, "sym", ["i"], ["i", "lr"], start, step, "sym string, at long, v double", ["sym", "at", "v"], [pa.string(), pa.int64(), pa.float64()])
+    return out(done, "sym", "at", v=F.sqrt("v"))
 
 
 @query(

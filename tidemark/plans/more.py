@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.shipping import ship
 from tidemark.operators import windows as W
 from tidemark.plans.features import STATES, TRUE_RANGE, rets, states, true_range
 from tidemark.plans.registry import out, query
@@ -265,6 +266,7 @@ def stationary_indices(n: int, mean_block: float, rng: np.random.Generator) -> n
 def bootstrap_sharpe(spark, d):
     """200 replicates of the book's yearly Sharpe ratio; replicates are dealt out with their seeds, the book's days are few and go along."""
     net = np.array([r["net"] for r in book(spark, d).orderBy("d").collect()])  # one row a day
+    ship(spark)
 
     def run(batches):
         for batch in batches:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from tidemark.operators import sequential as S
 from tidemark.operators import windows as W
 from tidemark.plans.features import rets
-from tidemark.plans.registry import ORACLE, out, query
+from tidemark.plans.registry import out, query
 from tidemark.sources.tables import BARS_SQL, FUNDING_SQL, TICKS_SQL, bars_1d, funding, table, ticks, trades
 
 C = F.col
@@ -47,7 +47,7 @@ def runs_bars(spark, d):
     return info_bars(signed(spark, d), S.runs_step(120.0), ["price", "qty", "sign"])
 
 
-CUSUM = f"""WITH RECURSIVE {BARS_SQL}, x AS (SELECT sym, i, ln(c) - coalesce(ln(lag(c) OVER (PARTITION BY sym ORDER BY i)), ln(c)) AS dx FROM rets WHERE i <= 400),
+CUSUM = f"""WITH RECURSIVE {BARS_SQL}, x AS (SELECT sym, i, ln(c) - coalesce(ln(lag(c) OVER (PARTITION BY sym ORDER BY i)), ln(c)) AS dx FROM rets),
  f AS (SELECT sym, i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS side FROM x WHERE i = 1 UNION ALL
  SELECT sym, i, CASE WHEN u >= 0.1 OR w <= -0.1 THEN 0 ELSE u END, CASE WHEN u >= 0.1 OR w <= -0.1 THEN 0 ELSE w END, CASE WHEN u >= 0.1 THEN 1 WHEN w <= -0.1 THEN -1 ELSE 0 END
  FROM (SELECT x.sym, x.i, greatest(0, f.up + x.dx) AS u, least(0, f.down + x.dx) AS w FROM f JOIN x ON x.sym = f.sym AND x.i = f.i + 1))
@@ -62,12 +62,6 @@ def filtered(b: DataFrame) -> DataFrame:
 
 @query("cusum_events", CUSUM)
 def cusum(spark, d):
-    """The first 400 bars of each series, as the SQL twin has them; cusum_events_whole goes on to the end."""
-    return filtered(rets(spark, d).where("i <= 400"))
-
-
-@query("cusum_events_whole")
-def cusum_whole(spark, d):
     return filtered(rets(spark, d))
 
 
@@ -150,25 +144,13 @@ def trend_scan(spark, d):
     return b.select("sym", "d", F.round("best.t", 4).alias("t"), (-C("best.n")).alias("span"))
 
 
-EVENTS_SQL = f"{BARS_SQL}, ev AS (SELECT sym, i AS t0, i + 5 + (i % 7) AS t1, r FROM rets WHERE i % 3 = 0 AND r IS NOT NULL)"
-
-
 #: Every bar with a return is an event.
-WHOLE_SQL = f"{BARS_SQL}, ev AS (SELECT sym, i AS t0, i + 5 + (i % 7) AS t1, r FROM rets WHERE r IS NOT NULL)"
-
-
-def whole_events(spark, d) -> DataFrame:
-    return rets(spark, d).where("r is not null").select("sym", C("i").cast("long").alias("t0"), (C("i") + 5 + C("i") % 7).cast("long").alias("t1"), "r")
-
-
-def whole_twin(name: str) -> str:
-    """The SQL twin of a query of events, over every bar with a return."""
-    return ORACLE[name].replace(EVENTS_SQL, WHOLE_SQL)
+EVENTS_SQL = f"{BARS_SQL}, ev AS (SELECT sym, i AS t0, i + 5 + (i % 7) AS t1, r FROM rets WHERE r IS NOT NULL)"
 
 
 def events(spark, d) -> DataFrame:
-    """Every third bar, as the SQL twins have it; the queries named _whole take every bar."""
-    return rets(spark, d).where("i % 3 = 0 and r is not null").select("sym", C("i").cast("long").alias("t0"), (C("i") + 5 + C("i") % 7).cast("long").alias("t1"), "r")
+    """Every bar with a return."""
+    return rets(spark, d).where("r is not null").select("sym", C("i").cast("long").alias("t0"), (C("i") + 5 + C("i") % 7).cast("long").alias("t1"), "r")
 
 
 @query(
@@ -179,11 +161,6 @@ def uniqueness(spark, d):
     return unique(events(spark, d))
 
 
-@query("average_uniqueness_whole", whole_twin("average_uniqueness"))
-def uniqueness_whole(spark, d):
-    return unique(whole_events(spark, d))
-
-
 def unique(e: DataFrame) -> DataFrame:
     """Concurrency from starts and ends as a running sum; only the events' bars are exploded."""
     x = e.select("sym", "t0", F.explode(F.sequence("t0", C("t1") - 1)).alias("t"))
@@ -196,11 +173,6 @@ def sample_weights(spark, d):
     return weighted(events(spark, d))
 
 
-@query("sample_weights_whole", whole_twin("sample_weights"))
-def sample_weights_whole(spark, d):
-    return weighted(whole_events(spark, d))
-
-
 def weighted(e: DataFrame) -> DataFrame:
     p = Window.partitionBy("sym")
     e = e.withColumn("w", F.log(1 + 100 * F.abs("r")) + 1).withColumn("age", F.max("t0").over(p) - C("t0"))
@@ -209,19 +181,10 @@ def weighted(e: DataFrame) -> DataFrame:
 
 @query(
     "walk_forward_folds",
-    f"""WITH {EVENTS_SQL}, k AS (SELECT k, 400 + k * 200 AS a, 600 + k * 200 AS b FROM (VALUES (0), (1), (2), (3), (4)) v(k))
-    SELECT sym, CAST(k AS INT) AS fold, count_if(t1 < a - 10 AND t0 >= a - 400) AS n_train, count_if(t0 >= a AND t0 < b) AS n_test, count_if(t0 < a AND t1 >= a - 10 AND t0 >= a - 400) AS purged FROM ev CROSS JOIN k GROUP BY sym, k""",
-)
-def walk_forward(spark, d):
-    return walked(events(spark, d))
-
-
-@query(
-    "walk_forward_folds_whole",
-    f"""WITH {WHOLE_SQL}, k AS (SELECT sym, k, 400 + k * 200 AS a, 600 + k * 200 AS b FROM (SELECT sym, unnest(generate_series(0, (max(i) - 400) // 200)) AS k FROM rets GROUP BY sym HAVING max(i) >= 400))
+    f"""WITH {EVENTS_SQL}, k AS (SELECT sym, k, 400 + k * 200 AS a, 600 + k * 200 AS b FROM (SELECT sym, unnest(generate_series(0, (max(i) - 400) // 200)) AS k FROM rets GROUP BY sym HAVING max(i) >= 400))
     SELECT sym, CAST(k AS INT) AS fold, count_if(t1 < a - 10 AND t0 >= a - 400) AS n_train, count_if(t0 >= a AND t0 < b) AS n_test, count_if(t0 < a AND t1 >= a - 10 AND t0 >= a - 400) AS purged FROM ev JOIN k USING (sym) GROUP BY sym, k""",
 )
-def walk_forward_whole(spark, d):
+def walk_forward(spark, d):
     """Folds up to the last bar of each series, whose last fold may be short. An event meets only the three folds that it can belong to."""
     last = F.max("i").over(Window.partitionBy("sym"))
     e = rets(spark, d).withColumn("folds", F.floor((last - 400) / 200).cast("int")).where("r is not null")
@@ -231,13 +194,6 @@ def walk_forward_whole(spark, d):
     return fold_counts(e.withColumn("a", 400 + 200 * C("fold")).withColumn("b", C("a") + 200))
 
 
-def walked(e: DataFrame) -> DataFrame:
-    """Fold descriptors (five rows) against the events; membership is a predicate, never a list."""
-    k = F.explode(F.array(*(F.struct(F.lit(k).alias("fold"), F.lit(400 + 200 * k).alias("a"), F.lit(600 + 200 * k).alias("b")) for k in range(5)))).alias("k")
-    e = e.select("sym", "t0", "t1", k).select("sym", "t0", "t1", "k.*")
-    return fold_counts(e)
-
-
 def fold_counts(e: DataFrame) -> DataFrame:
     count = lambda x, name: F.count_if(F.expr(x)).alias(name)
     return e.groupBy("sym", "fold").agg(count("t1 < a - 10 and t0 >= a - 400", "n_train"), count("t0 >= a and t0 < b", "n_test"), count("t0 < a and t1 >= a - 10 and t0 >= a - 400", "purged"))
@@ -257,11 +213,6 @@ def cpcv(spark, d):
     return purged_splits(events(spark, d))
 
 
-@query("cpcv_membership_whole", whole_twin("cpcv_membership"))
-def cpcv_whole(spark, d):
-    return purged_splits(whole_events(spark, d))
-
-
 def purged_splits(e: DataFrame) -> DataFrame:
     """Bounds of the six groups as arrays on each event; the 15 splits are a fixed table."""
     p = Window.partitionBy("sym")
@@ -357,41 +308,55 @@ def turnover(spark, d):
 
 
 BOOK = f"""{WEIGHTS}, h AS (SELECT sym, d, r, w, lag(w) OVER (PARTITION BY sym ORDER BY d) AS held FROM w),
- p AS (SELECT d, greatest(-0.99, sum(coalesce(held, 0) * coalesce(r, 0)) - 0.0005 * sum(abs(w - coalesce(held, 0)))) AS net FROM h GROUP BY d), eq AS (SELECT d, net, exp(sum(ln(1 + net)) OVER (ORDER BY d)) AS equity FROM p)"""
+ p AS (SELECT d, sum(coalesce(held, 0) * coalesce(r, 0)) - 0.0005 * sum(abs(w - coalesce(held, 0))) AS net FROM h GROUP BY d),
+ eq AS (SELECT d, net, CASE WHEN max(CASE WHEN net <= -1 THEN 1 ELSE 0 END) OVER (ORDER BY d) = 1 THEN 0 ELSE exp(sum(CASE WHEN net > -1 THEN ln(1 + net) END) OVER (ORDER BY d)) END AS equity FROM p)"""
 
 
 def book(spark, d) -> DataFrame:
-    """Lagged weights against returns, less costs of trading; one row a day. A day loses 99 % at most, so that compounding stays defined."""
+    """Lagged weights against returns, less costs of trading; one row a day."""
     h = inverse_vol(spark, d).withColumn("held", F.coalesce(F.lag("w").over(W.series()), F.lit(0.0)))
-    return h.groupBy("d").agg(F.greatest(F.lit(-0.99), F.sum(C("held") * F.coalesce("r", F.lit(0.0))) - 0.0005 * F.sum(F.abs(C("w") - C("held")))).alias("net"))
+    return h.groupBy("d").agg((F.sum(C("held") * F.coalesce("r", F.lit(0.0))) - 0.0005 * F.sum(F.abs(C("w") - C("held")))).alias("net"))
+
+
+GROWN = lambda: F.when(C("net") > -1, F.log1p("net"))
+RUINED = lambda: (C("net") <= -1).cast("int")
 
 
 def equity(p: DataFrame) -> DataFrame:
-    """Of a book's days, which are few: one series."""
-    w = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    return p.withColumn("equity", F.exp(F.sum(F.log1p("net")).over(w))).withColumn("drawdown", 1 - C("equity") / F.max("equity").over(w))
+    """Compounds a book's days, month by month. A day that loses all is ruin: equity is 0 from there on, and the drawdown 1."""
+    p = W.running(p, "d", F.trunc("d", "month"), grown=GROWN(), ruined=RUINED())
+    p = p.withColumn("equity", F.when(C("ruined") > 0, 0.0).otherwise(F.exp("grown")))
+    return W.running_max(p, "d", "peak", "equity").withColumn("drawdown", F.when(C("peak") > 0, 1 - F.try_divide("equity", "peak")).otherwise(1.0))
+
 
+LOG_EQUITY = "CASE WHEN equity > 0 THEN round(ln(equity), 5) + 0.0 END"
 
-@query("book_vectorized", f"WITH {BOOK} SELECT d, round(net, 6) + 0.0 AS net, round(ln(equity), 5) + 0.0 AS log_equity FROM eq")
+
+@query("book_vectorized", f"WITH {BOOK} SELECT d, round(net, 6) + 0.0 AS net, {LOG_EQUITY} AS log_equity, equity = 0 AS ruined FROM eq")
 def book_vectorized(spark, d):
-    return equity(book(spark, d)).select("d", (F.round("net", 6) + 0.0).alias("net"), (F.round(F.log("equity"), 5) + 0.0).alias("log_equity"))
+    e = equity(book(spark, d))
+    return e.select("d", (F.round("net", 6) + 0.0).alias("net"), F.when(C("equity") > 0, F.round(F.log("equity"), 5) + 0.0).alias("log_equity"), (C("equity") == 0).alias("ruined"))
 
 
-@query("drawdown_curve", f"WITH {BOOK} SELECT d, round(1 - equity / max(equity) OVER (ORDER BY d), 5) + 0.0 AS drawdown FROM eq")
+@query("drawdown_curve", f"WITH {BOOK} SELECT d, round(CASE WHEN max(equity) OVER (ORDER BY d) > 0 THEN 1 - equity / max(equity) OVER (ORDER BY d) ELSE 1 END, 5) + 0.0 AS drawdown FROM eq")
 def drawdown(spark, d):
     return equity(book(spark, d)).select("d", (F.round("drawdown", 5) + 0.0).alias("drawdown"))
 
 
-YEARLY = f"""WITH {BOOK}, y AS (SELECT *, year(d) AS y, exp(sum(ln(1 + net)) OVER (PARTITION BY year(d) ORDER BY d)) AS e FROM p), z AS (SELECT *, 1 - e / max(e) OVER (PARTITION BY y ORDER BY d) AS dd FROM y)
- SELECT CAST(y AS INT) AS y, count(*) AS n, round(sum(ln(1 + net)), 5) AS log_total, round(avg(net) / stddev_samp(net) * sqrt(252.0), 4) AS sharpe, round(max(dd), 5) AS worst FROM z GROUP BY y"""
+YEARLY = f"""WITH {BOOK}, y AS (SELECT *, year(d) AS y, CASE WHEN max(CASE WHEN net <= -1 THEN 1 ELSE 0 END) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN net > -1 THEN ln(1 + net) END) OVER w) END AS e FROM p WINDOW w AS (PARTITION BY year(d) ORDER BY d)),
+ z AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY y ORDER BY d) > 0 THEN 1 - e / max(e) OVER (PARTITION BY y ORDER BY d) ELSE 1 END AS dd FROM y)
+ SELECT CAST(y AS INT) AS y, count(*) AS n, CASE WHEN min(net) > -1 THEN round(sum(CASE WHEN net > -1 THEN ln(1 + net) END), 5) END AS log_total, round(avg(net) / stddev_samp(net) * sqrt(252.0), 4) AS sharpe, round(max(dd), 5) AS worst FROM z GROUP BY y"""
 
 
 @query("yearly_metrics", YEARLY)
 def yearly(spark, d):
+    """By year; a year with a day that loses all has no log_total, and 1 as its worst drawdown."""
     p = book(spark, d).withColumn("y", F.year("d"))
     w = Window.partitionBy("y").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    z = p.withColumn("e", F.exp(F.sum(F.log1p("net")).over(w))).withColumn("dd", 1 - C("e") / F.max("e").over(w))
-    return z.groupBy("y").agg(F.count("*").alias("n"), F.round(F.sum(F.log1p("net")), 5).alias("log_total"), F.round(F.avg("net") / F.stddev_samp("net") * math.sqrt(252), 4).alias("sharpe"), F.round(F.max("dd"), 5).alias("worst"))
+    z = p.withColumn("e", F.when(F.max(RUINED()).over(w) == 1, 0.0).otherwise(F.exp(F.sum(GROWN()).over(w))))
+    z = z.withColumn("dd", F.when(F.max("e").over(w) > 0, 1 - F.try_divide("e", F.max("e").over(w))).otherwise(1.0))
+    total = F.when(F.min("net") > -1, F.round(F.sum(GROWN()), 5))
+    return z.groupBy("y").agg(F.count("*").alias("n"), total.alias("log_total"), F.round(F.try_divide(F.avg("net"), F.stddev_samp("net")) * math.sqrt(252), 4).alias("sharpe"), F.round(F.max("dd"), 5).alias("worst"))
 
 
 @query("period_returns", f"WITH {BARS_SQL} SELECT sym, date_trunc('quarter', d)::DATE AS q, round(exp(sum(ln(1 + r))) - 1, 6) AS total FROM rets WHERE r IS NOT NULL GROUP BY 1, 2")
@@ -428,13 +393,13 @@ def fees(spark, d):
     )
 
 
-TCA = f"{TICKS_SQL}, t AS (SELECT *, lag(price) OVER (PARTITION BY sym ORDER BY ts, seq) AS arrival FROM ticks), s AS (SELECT sym, side, CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (price / arrival - 1) * 1e4 AS bps FROM t WHERE arrival IS NOT NULL)"
+TCA = f"{TICKS_SQL}, t AS (SELECT *, lag(price) OVER (PARTITION BY sym ORDER BY ts, seq) AS arrival FROM ticks), s AS (SELECT sym, side, CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (price / arrival - 1) * 1e4 AS bps FROM t WHERE arrival <> 0)"
 
 
 def shortfall(spark, d) -> DataFrame:
-    """Against the last price before the trade."""
-    t = ticks(spark, d).withColumn("arrival", F.lag("price").over(Window.partitionBy("sym").orderBy("ts", "seq"))).where("arrival is not null")
-    return t.withColumn("bps", F.when(C("side") == "buy", 1).otherwise(-1) * (C("price") / C("arrival") - 1) * 1e4)
+    """Against the last price before the trade; a trade without one, or behind a price of zero, has no shortfall."""
+    t = ticks(spark, d).withColumn("arrival", F.lag("price").over(Window.partitionBy("sym").orderBy("ts", "seq"))).where("arrival <> 0")
+    return t.withColumn("bps", F.when(C("side") == "buy", 1).otherwise(-1) * (F.try_divide("price", "arrival") - 1) * 1e4)
 
 
 @query("tca_by_symbol", f"WITH {TCA} SELECT sym, count(*) AS n, round(avg(bps), 3) AS mean, round(quantile_cont(bps, 0.5), 4) AS median, round(avg(CASE WHEN bps > 0 THEN 1.0 ELSE 0 END), 6) AS worse FROM s GROUP BY sym")
@@ -535,12 +500,16 @@ def ece(spark, d):
     return b.agg(F.round(F.sum(C("n") * F.abs(C("a") - C("c"))) / F.sum("n"), 6).alias("ece"))
 
 
-@query("weighted_auc", f"WITH {PREDICTIONS}, g AS (SELECT p, count_if(y = 1) AS a, count_if(y = 0) AS b FROM preds GROUP BY p), c AS (SELECT *, coalesce(sum(b) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(sum(a * (below + b / 2.0)) / (sum(a) * sum(b)), 6) AS auc FROM c")
+@query(
+    "weighted_auc",
+    f"WITH {PREDICTIONS}, g AS (SELECT p, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS a, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS b FROM (SELECT *, 1 + doc_id % 3 AS w FROM preds) GROUP BY p), c AS (SELECT *, coalesce(sum(b) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(sum(a * (below + b / 2.0)) / (sum(a) * sum(b)), 6) AS auc FROM c",
+)
 def auc(spark, d):
-    """Over distinct scores; ties count half."""
-    g = predictions(spark, d).groupBy("p").agg(F.count_if(C("y") == 1).alias("a"), F.count_if(C("y") == 0).alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("below", below).agg(F.round(F.sum(C("a") * (C("below") + C("b") / 2)) / (F.sum("a") * F.sum("b")), 6).alias("auc"))
+    """Over distinct scores, each row with its weight; ties count half. Scores are summed up by hundredths first."""
+    w = lambda y: F.sum(F.when(C("y") == y, 1 + C("doc_id") % 3).otherwise(0)).cast("double")
+    g = predictions(spark, d).groupBy("p").agg(w(1).alias("a"), w(0).alias("b"))
+    g = W.running(g, "p", F.floor(C("p") * 100), upto=C("b"))
+    return g.agg(F.round(F.try_divide(F.sum(C("a") * (C("upto") - C("b") / 2)), F.sum("a") * F.sum("b")), 6).alias("auc"))
 
 
 @query("correlation_matrix", f"WITH {BARS_SQL} SELECT a.sym AS x, b.sym AS y, round(corr(a.r, b.r), 5) AS corr, count(*) AS n FROM rets a JOIN rets b ON a.d = b.d AND a.sym < b.sym WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY ALL")

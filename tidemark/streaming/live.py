@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions.shipping import ship
+
 
 def tick_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """Ticks from a folder of event files; the schema is given, never inferred."""
@@ -39,15 +42,32 @@ def last_quotes(t: DataFrame) -> DataFrame:
     return t.groupBy("sym").agg(F.max_by("price", F.struct("ts", "seq")).alias("price"), F.max("ts").alias("ts"), F.count("*").alias("n"))
 
 
-def stateful(t: DataFrame, by: str, order: list[str], columns: list[str], start: Callable[[], dict], step: Callable[[dict, tuple], list[tuple]], schema: str, state_schema: str) -> DataFrame:
-    """The step functions of the batch operators over a stream: rows of a micro-batch in order, the state kept by key."""
+def stateful(t: DataFrame, by: str, order: list[str], columns: list[str], start: Callable[[], dict], step: Callable[[dict, tuple], list[tuple]], schema: str, state_schema: str, time: str = "ts", late: str = "1 hour") -> DataFrame:
+    """The step functions of the batch operators over a stream, in the order of event time.
+
+    Rows wait in the state until the watermark (the latest time seen less late) has passed them, and are stepped through then, in
+    order; so files or micro-batches that arrive out of order give the same results. Rows behind the watermark are dropped, as in
+    any watermarked aggregation. The state is the recursion's own and the rows of the last period of late.
+    """
     names = [c.split()[0] for c in state_schema.split(", ")]
+    out_names = [c.split()[0] for c in schema.split(", ")]
+    used = list(dict.fromkeys([time, *order, *columns]))
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(names, state.get, strict=True)) if state.exists else start()
-        rows = pd.concat(list(frames)).sort_values(order)
-        out = [(key[0], *x) for row in rows[columns].itertuples(index=False, name=None) for x in step(held, row)]
-        state.update(tuple(held.get(n) for n in names))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return t.groupBy(by).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+        held, waiting = start(), []
+        if state.exists:
+            *values, kept = state.get
+            held, waiting = dict(zip(names, values, strict=True)), [pickle.loads(kept)]
+        rows = pd.concat([*waiting, *(f[used] for f in frames if len(f))]) if waiting or not state.hasTimedOut else pd.DataFrame(columns=used)
+        mark = state.getCurrentWatermarkMs()
+        ripe = rows[time].astype("datetime64[us]").astype("int64") // 1000 < mark
+        now, later = rows[ripe].sort_values(order), rows[~ripe]
+        out = [(key[0], *x) for row in now[columns].itertuples(index=False, name=None) for x in step(held, row)]
+        state.update((*(held.get(n) for n in names), pickle.dumps(later)))
+        if len(later):
+            first = int(later[time].astype("datetime64[us]").astype("int64").min() // 1000)
+            state.setTimeoutTimestamp(max(first, mark) + 1)
+        yield pd.DataFrame(out, columns=out_names)
+
+    ship(t.sparkSession)
+    return t.withWatermark(time, late).groupBy(by).applyInPandasWithState(run, schema, f"{state_schema}, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
