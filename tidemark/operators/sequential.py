@@ -172,20 +172,21 @@ def breaker_step(trip: float, resume: float) -> tuple[Callable[[], dict], Callab
 
 
 def ewm_step(alpha: float, adjust: bool) -> tuple[Callable[[], dict], Callable]:
-    """Exponentially weighted mean over all rows so far: (time, mean). A null x takes part in no sum, but weights decay over its place.
+    """Exponentially weighted mean over all rows so far: (time, mean). A null x changes nothing, but what was known weighs less behind it.
 
-    adjust=False seeds the first value with full weight.
+    adjust=False seeds the first value with full weight, and what is known weighs 1 against alpha wherever no gap lies between.
     """
 
     def step(s: dict, row: tuple) -> list[tuple]:
         at, x = row
-        s["total"], s["weight"] = s["total"] * (1 - alpha), s["weight"] * (1 - alpha)
+        s["weight"] *= 1 - alpha
         if x is not None:
-            w = 1.0 if adjust or not s["seen"] else alpha
-            s["total"], s["weight"], s["seen"] = s["total"] + w * x, s["weight"] + w, True
-        return [(at, s["total"] / s["weight"] if s["seen"] else None)]
+            new = 1.0 if adjust or s["mean"] is None else alpha
+            s["mean"] = x if s["mean"] is None else (s["weight"] * s["mean"] + new * x) / (s["weight"] + new)
+            s["weight"] = s["weight"] + new if adjust else 1.0
+        return [(at, s["mean"])]
 
-    return lambda: {"total": 0.0, "weight": 0.0, "seen": False}, step
+    return lambda: {"mean": None, "weight": 0.0}, step
 
 
 def seeded_variance_step(decay: float, burn_in: int) -> tuple[Callable[[], dict], Callable]:
