@@ -68,14 +68,40 @@ def copies(seed, n, spread):
 def test_groups_that_hang_together_by_chains(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "SALT_ROWS", 20)
-    monkeypatch.setattr(minhash, "PAIRS", 7)
     docs = copies(3, 150, 7)
     want = expected(docs, 3, 85)
     assert 5 < len({c for _, _, c, _ in want}) < 140
     assert got(minhash.near_dedup(awkward(spark, docs), shingle=3, percent=85)) == want
 
 
-def test_components(spark):
+def test_ids_with_several_texts(spark):
+    """Such rows hang together, and so does what any of them is linked with."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = [(3, a), (5, a), (5, b), (6, b + " tail"), (8, c), (8, a), (9, "alone")]
+    assert {r["doc_id"]: r["component_id"] for r in rows(minhash.near_dedup(awkward(spark, docs)))} == {3: 3, 5: 3, 6: 3, 8: 3, 9: 9}
+
+
+def mirrored(n):
+    """Two different words that polynomial hashes modulo a power of two take for one."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [512, 1024])
+def test_mirrored_words(spark, n):
+    x, y = mirrored(n)
+    docs = [(1, " ".join([x] * 13)), (2, " ".join([y] * 13))]
+    assert got(minhash.near_dedup(awkward(spark, docs), shingle=3, percent=85)) == expected(docs, 3, 85)
+
+
+def test_no_components(spark):
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
+@pytest.mark.parametrize("local", [7, 50, None])
+def test_components(spark, local):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(40)] + [(7, 7), (600, None)]
     parent = list(range(1000))
@@ -90,5 +116,5 @@ def test_components(spark):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     nodes = {x for a, b in edges for x in (a, b) if b is not None and a != b}
-    found = {(r["node"], r["component"]) for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    found = {(r["node"], r["component"]) for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b", local).collect()}
     assert found == {(x, find(x)) for x in nodes}

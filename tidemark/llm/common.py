@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shipping import ship
+
 #: Separators of words, as bytes: the space and 9 to 13.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SPACE = np.zeros(256, bool)
@@ -29,22 +28,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once for each application."""
-    if (app := spark.sparkContext.applicationId) in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    name = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for p in package.rglob("*.py"):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a batch of long texts fits beside the JVM."""
     ship(spark)
@@ -54,9 +37,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; it goes when the application ends."""
+    """A new path in the folder that driver and executors share; it goes when the application ends. On one machine a temporary folder serves."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(top)
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

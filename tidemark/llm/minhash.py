@@ -2,13 +2,17 @@
 
 1. Each text becomes its set of word shingles. Equal sets fall into one class, which its least document stands for.
 2. ``bands * rows`` universal hash minima sign a set; a band of equal minima puts two classes into one bucket.
-3. In a bucket every class is held against the bucket's least class. Candidates whose signatures agree on clearly less than
-   the threshold go; the others are confirmed on their full sets. Confirmed links make components.
-4. Where a bucket holds several components, classes outside its largest one are held against a few of that one's
-   classes, others in each round; that joins what hangs together by other members than the least one.
-5. Where a bucket then still holds several components, classes outside its largest one are held against all its classes of
-   other components, in blocks of signatures, each pair in the first band that it shares; what agrees is confirmed as before.
-   So no link that could join two components is lost, while pairs within a component are never listed.
+3. Buckets make clusters: whatever hangs together by buckets. Each class's set is fetched once, and goes once to the task that its
+   cluster belongs to. There pairs whose signatures agree on clearly less than the threshold are passed over; the others are
+   compared on their full sets, unless both hang together already. Only links that join two parts leave the task.
+4. A cluster of more than BLOCK classes, or of more than WEIGHT shingles, is dealt to several tasks. A few classes of each part that a task
+   found are dealt anew, until they fit into one task or stay as many. That joins nearly all that belongs together.
+5. Then buckets that still hold several parts are gone through exactly: each class outside a bucket's largest part against all its
+   classes of other parts, each pair in the first band that it shares. The outer classes stand in blocks, beside which the
+   bucket streams through, in salted shares; again only joining links leave a task.
+
+So no link that could join two components is lost, no pair of classes is ever a row, and the rows grow with the classes, but for
+the blocks of outer classes that a bucket goes by.
 
 Two sets at the threshold of 0.85 (0.8) share none of 32 bands of 5 minima with a probability of 7e-9 (3e-6); the
 signatures of such a pair fall below the margin with a probability of about 1e-9.
@@ -26,21 +30,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, repeats
-from tidemark.llm.components import components
+from tidemark.llm.components import Parts, components
 
 #: Defaults of near-duplicate operators here.
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
 #: Standard deviations of an estimate that the signature check leaves below the threshold.
 MARGIN = 6
-#: Classes of a bucket that are held against others at once, and others that a task holds against them.
-BLOCK, SALT_ROWS = 1000, 20_000
-#: Pairs of one class that one task confirms.
-PAIRS = 500
-#: Rounds with other members of a bucket's largest component, members in each.
-HUB_ROUNDS, HUBS = 3, 8
-#: Pairs that are handed on at once.
-FLUSH = 50_000
+#: Classes and shingles that one task holds against each other.
+BLOCK, WEIGHT = 1000, 4_000_000
+#: Classes of a bucket that stream past a block in one task.
+SALT_ROWS = 20_000
+#: Classes of a part that are dealt anew, and how often at most.
+DELEGATES, DEALS = 8, 6
 _U = np.uint64
 
 
@@ -101,133 +103,170 @@ def _signed(texts: DataFrame, k: int, n: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, row long, n_shingles long, set_id binary, sig binary")
 
 
-def _sets(k: int):
-    """Of the wanted texts of a batch, the shingle sets."""
+def _sets(k: int, n: int):
+    """Of the wanted texts of a batch, the shingle sets with their signatures, beside what came with the row."""
 
     def work(texts: pa.RecordBatch, found: list[np.ndarray], place: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(place):
             return
         raw, offsets = common.arrays(texts, "text")
-        (doc,) = repeats.columns(texts, "doc")
         for low, high in common.slices(raw, offsets):
-            wanted = place[(place >= low) & (place < high)]
+            wanted = np.flatnonzero((place >= low) & (place < high))
             if len(wanted):
                 sets = shingle_sets(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], k)
-                yield pa.record_batch([pa.array(doc[wanted], pa.int64()), pa.array([sets[i - low].tobytes() for i in wanted.tolist()], pa.binary())], ["id", "items"])
+                sets = [sets[i - low] for i in place[wanted].tolist()]
+                signs = signatures(sets, n)
+                beside = [pa.array(x[wanted], pa.int64()) for x in found]
+                yield pa.record_batch([*beside, pa.array([x.tobytes() for x in signs], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["row", "cluster", "chunk", "cls", "node", "sig", "items"])
 
     return work
 
 
-def _agreeing(pairs: DataFrame, signs: DataFrame, floor: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in floor places at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(common.arrays(batch, c)[0], np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= floor))
-
-    found = pairs.join(signs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(signs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return found.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
-def _confirm(pairs: DataFrame, rows: DataFrame, store: tuple[str, int], k: int, percent: int) -> DataFrame:
-    """Of a written table of pairs, those with 100 * intersection >= percent * union on the full sets.
-
-    The set of a stands once before the sets of up to PAIRS partners, so a hub's set isn't repeated for each of its pairs.
+class Held:
+    """Sets that others are compared with."""
+
+    def __init__(self, signs: np.ndarray, sets: list[np.ndarray], percent: int, floor: int):
+        self.signs, self.percent, self.floor = signs, percent, floor
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.vocabulary, inverse = np.unique(np.concatenate(sets) if sets else np.zeros(0, _U), return_inverse=True)
+        self.items = inverse.astype(np.int32)
+        self.mark = np.zeros(len(self.vocabulary), bool)
+
+    def agreeing(self, some: np.ndarray, sign: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of some that may be linked by their sizes and signatures, and where the signatures agree."""
+        some = some[100 * np.minimum(self.sizes[some], size) >= self.percent * np.maximum(self.sizes[some], size)]
+        same = self.signs[some] == sign
+        near = same.sum(1) >= self.floor
+        return some[near], same[near]
+
+    def place(self, items: np.ndarray) -> np.ndarray:
+        """Places of the known ones of sorted items."""
+        at = np.searchsorted(self.vocabulary, items)
+        at[at == len(self.vocabulary)] = 0
+        return at[self.vocabulary[at] == items] if len(self.vocabulary) else at[:0]
+
+    def linked(self, some: np.ndarray, places: np.ndarray, size: int) -> Iterator[int]:
+        """Those of some whose sets are linked with a set of that size, of which places are known."""
+        self.mark[places] = True
+        for i in some.tolist():
+            both = int(self.mark[self.items[self.starts[i] : self.starts[i + 1]]].sum())
+            if both and 100 * both >= self.percent * (int(self.sizes[i]) + size - both):
+                yield i
+        self.mark[places] = False
+
+
+def _resolve(nodes: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], percent: int, floor: int) -> Parts:
+    """What hangs together among sets; nodes: what each belongs to already."""
+    parts, held = Parts(), Held(signs, sets, percent, floor)
+    roots = nodes.copy()
+    for i in range(len(nodes) - 1):
+        later = np.arange(i + 1, len(nodes))
+        some, _ = held.agreeing(later[roots[later] != roots[i]], signs[i], int(held.sizes[i]))
+        for j in held.linked(some, held.items[held.starts[i] : held.starts[i + 1]], int(held.sizes[i])) if len(some) else ():
+            if parts.join(int(roots[i]), int(roots[j])):
+                to = parts.find(int(roots[i]))
+                roots[(roots == roots[i]) | (roots == roots[j])] = to
+    for n in nodes.tolist():
+        parts.find(n)
+    return parts
+
+
+def _within(dealt: DataFrame, percent: int, floor: int, delegates: int) -> DataFrame:
+    """(cluster, row, a, b, again): of each class the part that it belongs to in its task, and whether it is dealt anew.
+
+    dealt: cluster, chunk, many (of the cluster), row, cls, node (the part so far), sig, items; many: the cluster has several chunks.
+    Clusters of one chunk give only classes that joined another one.
     """
-    involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = common.save(repeats.at_texts(rows.join(involved, "cls", "left_semi").select("row"), *store, _sets(k), "id long, items binary"), "sets")
-    sizes = common.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("salts")), "hubs")
-    partners = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
-    others = partners.join(sets, F.col("b") == sets.id).select("a", "salt", F.col("b").alias("id"), "items")
-    heads = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(sets, F.col("a") == sets.id).select("a", "salt", F.lit(None).cast("long").alias("id"), "items")
+
+    def done(group: tuple, rows: list[tuple]) -> pa.RecordBatch | None:
+        cluster, _, many = group
+        row, cls, node, sig, items = zip(*rows, strict=True)
+        parts = _resolve(np.array(node, np.int64), np.stack([np.frombuffer(x, np.uint16) for x in sig]), [np.frombuffer(x, _U) for x in items], percent, floor)
+        out, dealt_anew = [], {}
+        for r, c, n in zip(row, cls, node, strict=True):
+            root = parts.find(n)
+            if many:
+                dealt_anew[root] = dealt_anew.get(root, 0) + 1
+            if many or root != n:
+                out.append((cluster, r, n, root, c, many and dealt_anew[root] <= delegates))
+        return pa.record_batch([*(pa.array(x, pa.int64()) for x in list(zip(*out, strict=True))[:5]), pa.array([x[5] for x in out], pa.bool_())], ["cluster", "row", "a", "b", "cls", "again"]) if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, heads = None, []  # an id can have several rows, so several sets
+        group, rows = None, []
         for batch in batches:
-            links = []
-            for a, salt, b, items in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "id", "items")), strict=True):
-                items = np.frombuffer(items, _U)
-                if b is None:
-                    if hub != (a, salt):
-                        hub, heads = (a, salt), []
-                    heads.append(items)
-                    continue
-                for head in heads:
-                    few, many = sorted((head, items), key=len)
-                    if 100 * len(few) < percent * len(many):
-                        continue
-                    at = np.searchsorted(many, few)
-                    both = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                    if both and 100 * both >= percent * (len(few) + len(many) - both):
-                        links.append((a, b))
-                        break
-            if links:
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+            for cluster, chunk, many, *row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "chunk", "many", "row", "cls", "node", "sig", "items")), strict=True):
+                if (cluster, chunk, many) != group:
+                    if rows and (found := done(group, rows)) is not None:
+                        yield found
+                    group, rows = (cluster, chunk, many), []
+                rows.append(tuple(row))
+        if rows and (found := done(group, rows)) is not None:
+            yield found
 
-    dealt = heads.union(others).repartition(common.partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("id").asc_nulls_first())
-    return common.save(dealt.mapInArrow(run, "a long, b long"), "links")
+    n = common.partitions(dealt.sparkSession)
+    return dealt.repartition(n, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", F.xxhash64("row")).select("cluster", "chunk", "many", "row", "cls", "node", "sig", "items").mapInArrow(run, "cluster long, row long, a long, b long, cls long, again boolean")
 
 
-def _across(split: DataFrame, floor: int, rows: int) -> DataFrame:
-    """Agreeing pairs of classes of different components, for buckets of several components.
+def _across(split: DataFrame, percent: int, floor: int, rows: int, block: int, weight: int, salt_rows: int) -> DataFrame:
+    """Links (a, b) between parts, for buckets of several parts.
 
-    split: key, band, cls, comp, sig, n (classes of the bucket), main (its largest component), outside (classes not of main).
+    split: key, band, row, comp, sig, items, n (classes of the bucket), main (its largest part), outside (classes not of main), heavy (their shingles).
     """
-    chunks, salts = F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("n") / SALT_ROWS)
+    chunks, salts = F.ceil(F.greatest(F.col("outside") / block, F.col("heavy") / weight)), F.ceil(F.col("n") / salt_rows)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
-    base = ["key", "band", "cls", "comp", "sig"]
-    held = split.where("comp <> main").withColumn("chunk", F.pmod(F.xxhash64("cls"), chunks).cast("int")).withColumn("salt", numbers(salts)).select(*base, "chunk", "salt", F.lit(0).alias("kind"), F.lit(True).alias("out"))
-    all_ = split.withColumn("chunk", numbers(chunks)).withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(7)), salts).cast("int")).select(*base, "chunk", "salt", F.lit(1).alias("kind"), (F.col("comp") != F.col("main")).alias("out"))
+    base = ["key", "band", "row", "comp", "sig", "items"]
+    held = split.where("comp <> main").withColumn("chunk", F.pmod(F.xxhash64("row"), chunks).cast("int")).withColumn("salt", numbers(salts)).select(*base, "chunk", "salt", F.lit(0).alias("kind"), F.lit(True).alias("out"))
+    all_ = split.withColumn("chunk", numbers(chunks)).withColumn("salt", F.pmod(F.xxhash64("row", F.lit(7)), salts).cast("int")).select(*base, "chunk", "salt", F.lit(1).alias("kind"), (F.col("comp") != F.col("main")).alias("out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, cls, comp, sig = None, [], [], []
-        pairs: list[tuple[int, int]] = []
-
-        def made() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
-
+        group, block = None, []
+        held, parts, number, comps = None, Parts(), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            fields = list(zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "salt", "kind", "cls", "comp", "out", "band")), strict=True))
-            signs = np.frombuffer(common.arrays(batch, "sig")[0], np.uint16).reshape(len(fields), -1) if fields else None
-            for i, (key, chunk, salt, kind, c, m, out, band) in enumerate(fields):
+            links = []
+            for key, chunk, salt, kind, row, comp, out, band, sig, items in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "salt", "kind", "row", "comp", "out", "band", "sig", "items")), strict=True):
                 if group != (key, chunk, salt):
-                    group, cls, comp, sig = (key, chunk, salt), [], [], []
+                    group, block, held, parts = (key, chunk, salt), [], None, Parts()
+                sign, items = np.frombuffer(sig, np.uint16), np.frombuffer(items, _U)
                 if not kind:
-                    cls.append(c)
-                    comp.append(m)
-                    sig.append(signs[i])
+                    block.append((row, comp, sign, items))
                     continue
-                if isinstance(sig, list):
-                    cls, comp, sig = np.array(cls, np.int64), np.array(comp, np.int64), np.array(sig, np.uint16).reshape(len(cls), signs.shape[1])
-                near = np.flatnonzero((comp != m) & (cls < c if out else True))
-                if len(near):
-                    same = sig[near] == signs[i]
-                    agree = same.sum(1) >= floor
-                    first = same[agree].reshape(-1, same.shape[1] // rows, rows).all(2).argmax(1)
-                    pairs += [(min(c, x), max(c, x)) for x in cls[near[agree][first == band]].tolist()]
-                    if len(pairs) >= FLUSH:
-                        yield made()
-                        pairs = []
-        if pairs:
-            yield made()
+                if held is None and not block:  # the hash left this block empty
+                    continue
+                if held is None:
+                    held = Held(np.stack([x[2] for x in block]), [x[3] for x in block], percent, floor)
+                    number, comps = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.int64)
+                    block = []
+                top = parts.find(comp)
+                some = np.flatnonzero((comps != top) & (number < row if out else True))
+                some, same = held.agreeing(some, sign, len(items))
+                if not len(some):
+                    continue
+                some = some[same.reshape(len(some), -1, rows).all(2).argmax(1) == band]
+                for i in held.linked(some, held.place(items), len(items)) if len(some) else ():
+                    before = int(comps[i])
+                    if parts.join(before, top):
+                        links.append((before, top))
+                        old, top = (before, top), parts.find(top)
+                        comps[np.isin(comps, old)] = top
+            if links:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
     dealt = held.union(all_).repartition(common.partitions(split.sparkSession), "key", "chunk", "salt").sortWithinPartitions("key", "chunk", "salt", "kind")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _merge(cls_comp: DataFrame, classes: DataFrame) -> DataFrame:
-    return classes.join(cls_comp, F.col("cls") == cls_comp.node, "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
+def _chunked(sized: DataFrame, seed: int, block: int, weight: int) -> DataFrame:
+    """Adds to classes (with cluster and weight) many and chunk: how their cluster is dealt. The cluster's size is summed up first."""
+    sizes = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("weight") / weight)).cast("int").alias("chunks"))
+    dealt = sized.join(sizes, "cluster")
+    return dealt.withColumn("many", F.col("chunks") > 1).withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(seed)), "chunks").cast("int"))
 
 
-def _mixed(links: DataFrame, banded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Components; the buckets with several: key, n, main (the largest one), outside; and the buckets' classes with their components."""
-    found = common.save(components(links, "a", "b"), "components")
-    placed = common.save(_merge(found, banded.select("key", "band", "cls")), "placed")
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("comp", "c").alias("main"), F.max("c").alias("most"), F.count("*").alias("parts"))
-    return found, common.save(mixed.where("parts > 1").select("key", "n", "main", (F.col("n") - F.col("most")).alias("outside")), "mixed"), placed
+def _linked(found: DataFrame, node: str, of: DataFrame) -> DataFrame:
+    """of with comp: the component of its node."""
+    found = found.select(F.col("node").alias(node), "component")
+    return of.join(found, node, "left").withColumn("comp", F.coalesce("component", node)).drop("component")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -239,46 +278,75 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Other columns of df are left out.
     """
     spark = common.prepare(df.sparkSession)
-    store = repeats.store(common.id_text(df, id_col, text_col))
+    block, weight = BLOCK, WEIGHT
+    store, n_files = repeats.store(common.id_text(df, id_col, text_col))
     n = bands * rows
     share = percent / 100
     floor = max(1, math.floor(n * share - MARGIN * math.sqrt(n * share * (1 - share))))
-    signed = common.save(_signed(repeats.stored(spark, store[0]), shingle, n), "signed")
-    classes = common.save(signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("cls")), "classes")
-    signs = common.save(signed.withColumn("cls", F.col("doc_id")).join(classes, ["set_id", "cls"]).dropDuplicates(["set_id"]).select("cls", "sig", "row"), "signs")
-    place = signs.select("cls", "row")
+    signed = common.save(_signed(repeats.stored(spark, store), shingle, n), "signed")
+    known = signed.where("set_id is not null and doc_id is not null")
+    classes = common.save(known.groupBy("set_id").agg(F.min("doc_id").alias("cls"), F.min_by("row", "doc_id").alias("row"), F.first("n_shingles").alias("n_shingles")), "classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * rows) + 1, F.lit(2 * rows))))
-    banded = signs.select("cls", F.posexplode(keys).alias("band", "key"))
-    buckets = banded.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub < last").select("key", "hub")
-    banded = common.save(banded.join(common.save(buckets, "buckets"), "key"), "banded")
-
-    pairs = banded.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _confirm(common.save(_agreeing(pairs, signs, floor), "pairs"), place, store, shingle, percent)
-    found, mixed, placed = _mixed(links, banded)
-    for r in range(HUB_ROUNDS):
-        if mixed.isEmpty():
-            break
-        inside = F.when(F.col("comp") == F.col("main"), F.col("cls"))
-        split = placed.join(mixed, "key")
-        hubs = split.groupBy("key").agg(*(F.min_by(inside, F.when(inside.isNotNull(), F.xxhash64("cls", F.lit(HUBS * r + j)))).alias(f"h{j}") for j in range(HUBS)))
-        hubs = common.save(hubs.select("key", F.array_distinct(F.array(*(f"h{j}" for j in range(HUBS)))).alias("hubs")), "hubs")
-        pairs = split.where("comp <> main").join(hubs, "key").select("cls", F.explode("hubs").alias("hub")).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).where("a < b").distinct()
-        more = _confirm(common.save(_agreeing(pairs, signs, floor), "pairs"), place, store, shingle, percent)
-        if more.isEmpty():
-            break
-        links = common.save(links.union(more), "links")
-        found, mixed, placed = _mixed(links, banded)
-    if not mixed.isEmpty():
-        split = placed.join(mixed, "key").join(signs.select("cls", "sig"), "cls")
-        more = common.save(_across(split, floor, rows), "pairs")
-        if not more.isEmpty():
-            links = links.union(_confirm(more, place, store, shingle, percent))
-            found = common.save(components(links, "a", "b"), "components")
-
-    classes = common.save(_merge(found, classes), "classes")
-    out = signed.select("doc_id", "n_shingles", "set_id").join(classes.select("set_id", "comp"), "set_id", "left")
+    signs = common.save(signed.select("set_id", "row", "sig").join(classes.select("set_id", "row", "cls").hint("merge"), ["set_id", "row"]).select("row", "cls", "sig"), "signs")
+    banded = signs.select("row", "cls", F.posexplode(keys).alias("band", "key"))
+    buckets = common.save(banded.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "buckets")
+    banded = common.save(banded.join(buckets, "key"), "banded")
+    common.discard(spark, signs, buckets)
+    # Rows that share an id hang together.
+    twice = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    twice = known.join(classes.select("set_id", "cls"), "set_id").where("doc_id <> cls").join(twice, "doc_id", "left_semi")
+    twice = common.save(twice.select(F.col("doc_id").alias("a"), F.col("cls").alias("b")).distinct(), "twice")
+    used = [store, signed, classes, banded, twice]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(common.save(df, name))
+        return used[-1]
+
+    used.append(clusters := components(banded.where("cls <> hub"), "cls", "hub"))
+    sized = classes.join(clusters, F.col("cls") == F.col("node")).select("row", "cls", F.col("component").alias("cluster"), F.col("n_shingles").alias("weight"))
+    placed = kept(_chunked(sized, 0, block, weight).withColumn("node", F.col("cls")), "placed")
+
+    def fetched(some: DataFrame) -> DataFrame:
+        """With sig and items, which go straight to the tasks of their clusters."""
+        columns = ["row", "cluster", F.col("chunk").cast("long").alias("chunk"), "cls", "node"]
+        return repeats.at_texts(some.select(*columns), store, n_files, _sets(shingle, n), "row long, cluster long, chunk long, cls long, node long, sig binary, items binary")
+
+    links = [kept(_within(fetched(placed.where("not many")).withColumn("many", F.lit(False)), percent, floor, DELEGATES), "links")]
+    if not placed.where("many").isEmpty():
+        large = placed.where("many").select("row", "weight").join(kept(fetched(placed.where("many")), "large").hint("merge"), "row")
+        links.append(kept(_within(large.withColumn("many", F.lit(True)), percent, floor, DELEGATES), "links"))
+        before = None
+        for deal in range(1, DEALS + 1):
+            chosen = links[-1].where("again").select("row", F.col("b").alias("node"))
+            count = chosen.count()
+            if not count or (before is not None and count > 0.7 * before):
+                break
+            before = count
+            again = _chunked(chosen.join(large.select("row", "cls", "cluster", "weight", "sig", "items").hint("merge"), "row"), deal, block, weight)
+            # All of these are held on to for the next deal, whether they fit into one task or not.
+            links.append(kept(_within(again.withColumn("many", F.lit(True)), percent, floor, DELEGATES), "links"))
+        joined = twice
+        for more in links:
+            joined = joined.union(more.select("a", "b"))
+        links = [kept(joined.where("a <> b").distinct(), "links")]
+        used.append(found := components(links[0], "a", "b"))
+        parts = banded.select("key", "band", "row", "cls").join(large.select("row", "weight"), "row")
+        parts = kept(_linked(found, "cls", parts), "parts")
+        counts = parts.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("weight").alias("w"))
+        mixed = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("comp", "c").alias("main"), F.max("c").alias("most"), F.sum("w").alias("w"), F.max_by("w", "c").alias("main_w"), F.count("*").alias("parts"))
+        mixed = kept(mixed.where("parts > 1").select("key", "n", "main", (F.col("n") - F.col("most")).alias("outside"), (F.col("w") - F.col("main_w")).alias("heavy")), "mixed")
+        if not mixed.isEmpty():
+            split = parts.join(mixed, "key").join(large.select("row", "sig", "items").hint("merge"), "row")
+            links.append(kept(_across(split, percent, floor, rows, block, weight, SALT_ROWS), "links"))
+    joined = twice
+    for more in links:
+        joined = joined.union(more.select("a", "b"))
+    used.append(found := components(joined, "a", "b"))
+    out = signed.select("doc_id", "n_shingles", "set_id").join(_linked(found, "cls", classes.select("set_id", "cls")), "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    done = common.save(out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept")), "near")
+    common.discard(spark, *used)
+    return done
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

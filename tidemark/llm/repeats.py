@@ -167,11 +167,11 @@ def at_texts(found: DataFrame, path: str, n_files: int, work: Callable, schema:
         from pyarrow import fs
 
         filesystem, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        listed = [x.path for x in filesystem.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet")]
         feed = Feed(batches, names)
         while (file := feed.file()) is not None:
             feed.take(file, -1)
-            for name in (p for p in listed if p.rpartition("/")[2].startswith(f"part-{file:05d}-")):
+            name = f"{root}/part-{file:05d}{ending}"
+            if filesystem.get_file_info(name).type == fs.FileType.File:  # a part without rows has no file
                 with filesystem.open_input_file(name) as f:
                     for texts in pq.ParquetFile(f).iter_batches(batch_size=batch_rows):
                         numbers = texts.column("row").to_numpy()
@@ -181,6 +181,8 @@ def at_texts(found: DataFrame, path: str, n_files: int, work: Callable, schema:
 
     if not n_files:
         return spark.createDataFrame([], schema)
+    # All files of one writing job end alike, so that a task knows its file's name and needs no listing of the folder.
+    ending = spark.read.schema("row long").parquet(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^part-\d+(.*)$", 1)).first()[0]
     return numbered.repartitionById(n_files, "file").sortWithinPartitions("file", "row").select("file", *names).mapInArrow(run, schema)
 
 
