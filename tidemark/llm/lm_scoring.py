@@ -3,7 +3,7 @@
 Both are bigram models over one vocabulary, all words of the corpus, with one smoothing: the bigram estimate leans on the
 word's own, and that on a uniform one. The target model counts the target documents, the background model all.
 Documents are handled in blocks of a stored file. A block sends each of its n-grams once, with its counts, to the owner of
-a range of hashes; owners add up and return the corpus counts in the block's own order, so the exchange grows with the
+its hash, and nothing to owners that it has no n-gram for, so rows never outnumber n-grams however many owners there are; owners add up and return the corpus counts in the block's own order, so the exchange grows with the
 distinct n-grams of the blocks and no table of n-grams is ever in one place. A document's own counts are taken out of
 both models before it is scored.
 """
@@ -80,6 +80,15 @@ def _index(word: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate([words, pairs]), of_word, of_pair + len(words)
 
 
+def _owned(grams: np.ndarray, owners: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The owners that have some of the n-grams, each with their places in order."""
+    owner = (grams % _U(owners)).astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    names, first = np.unique(owner[order], return_index=True)
+    for r, low, high in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        yield r, order[low:high]
+
+
 def _count(owners: int):
     def work(texts: pa.RecordBatch, found: list[np.ndarray], place: np.ndarray) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(texts.num_rows, bool)
@@ -90,14 +99,14 @@ def _count(owners: int):
         both = np.concatenate([of_word, of_pair])
         seen = np.bincount(both, minlength=len(grams)).astype(np.uint32)
         target = np.bincount(both[np.concatenate([wanted[text]] * 2)], minlength=len(grams)).astype(np.uint32)
-        owner = (grams % _U(owners)).astype(np.int64)
-        is_word = np.arange(len(grams)) < n_words
         block = texts.column("row")[0].as_py()
         rows = []
-        for r in range(owners):
-            mine = owner == r
-            own_words = int((mine & is_word).sum())
-            rows.append((r, block, _parts(grams[mine], own_words), _squeezed(seen[mine]), _squeezed(target[mine]), own_words, len(text) if r == 0 else 0, int(wanted[text].sum()) if r == 0 else 0))
+        totals = (len(text), int(wanted[text].sum()))
+        for r, mine in _owned(grams, owners):
+            own_words = int(np.searchsorted(mine, n_words))
+            rows.append((r, block, _parts(grams[mine], own_words), _squeezed(seen[mine]), _squeezed(target[mine]), own_words, *(totals if not rows else (0, 0))))
+        if not rows:
+            return
         values = list(zip(*rows, strict=True))
         yield pa.record_batch([pa.array(values[0], pa.int32()), pa.array(values[1], pa.int64()), *(pa.array(v, pa.binary()) for v in values[2:5]), *(pa.array(v, pa.int64()) for v in values[5:])], ["owner", "block", "grams", "seen", "target", "words", "tokens", "target_tokens"])
 
@@ -114,8 +123,9 @@ def _answer(counts: DataFrame, owners: int) -> DataFrame:
                 held.setdefault(owner, []).append((block, _hashes(grams, words), _loosened(seen, np.uint32), _loosened(target, np.uint32), words, totals))
         for owner, rows in held.items():
             grams, place = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-            seen = np.bincount(place, np.concatenate([r[2] for r in rows]), len(grams)).astype(np.uint32)
-            target = np.bincount(place, np.concatenate([r[3] for r in rows]), len(grams)).astype(np.uint32)
+            seen, target = np.zeros(len(grams), _U), np.zeros(len(grams), _U)
+            np.add.at(seen, place, np.concatenate([r[2] for r in rows]).astype(_U))
+            np.add.at(target, place, np.concatenate([r[3] for r in rows]).astype(_U))
             word = np.zeros(len(grams), bool)
             at = 0
             for _, g, _, _, words, _ in rows:
@@ -141,14 +151,14 @@ def _score(owners: int, vocabulary: int, tokens: int, target_tokens: int):
         text, word, context, pair = _grams(texts)
         grams, of_word, of_pair = _index(word, pair)
         seen, target = np.zeros(len(grams)), np.zeros(len(grams))
-        owner = (grams % _U(owners)).astype(np.int64)
+        mine = dict(_owned(grams, owners))
         wanted = np.zeros(texts.num_rows, bool)
         for k in range(len(place)):
             if found[1][k] < 0:  # a target document
                 wanted[place[k]] = True
             else:
-                mine = owner == found[1][k]
-                seen[mine], target[mine] = _loosened(found[2][k], np.uint32), _loosened(found[3][k], np.uint32)
+                at = mine[int(found[1][k])]
+                seen[at], target[at] = _loosened(found[2][k], _U), _loosened(found[3][k], _U)
         n_words = int(of_pair.min()) if len(of_pair) else 0
         of_context = np.searchsorted(grams[:n_words], context)
         size = np.bincount(text, minlength=texts.num_rows)
