@@ -2,6 +2,7 @@ import collections
 import hashlib
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -32,7 +33,7 @@ def test_empty(spark):
 
 def test_splits(spark):
     docs = [(i, f"text {i % 40} " * (i % 7)) for i in range(300)]
-    assert got(exact_dedup.dedup(awkward(spark, docs).repartition(5), bucket_bytes=200, max_depth=6)) == expected(docs)
+    assert got(exact_dedup.dedup(awkward(spark, docs).repartition(5), bucket_bytes=200, depth=6)) == expected(docs)
 
 
 def test_oracle(spark, sf):
@@ -42,14 +43,39 @@ def test_oracle(spark, sf):
     assert got(exact_dedup.op5_exact_dedup(spark, sf)) == want
 
 
+def stored(keys):
+    """What a pass over keys (unsigned: bytes) finds."""
+
+    def sizes(bits, prefixes):
+        cells = {}
+        for key, size in keys.items():
+            prefix = key >> (64 - bits)
+            if prefixes is None or prefix >> exact_dedup.STEP_BITS in prefixes:
+                total, low, high = cells.get(prefix, (0, key, key))
+                cells[prefix] = total + size, min(low, key), max(high, key)
+        return cells
+
+    return sizes
+
+
 def test_directory_doubles():
-    cells = {p: (100, p, p + 5) for p in range(64)}
-    depth, entries = exact_dedup.directory(cells, 900, 6)
-    assert depth == 3 and entries == list(range(8))
-    depth, entries = exact_dedup.directory({0: (10_000, 1, 9), 63: (10, 2, 2)}, 900, 6)
-    assert depth == 6 and len(set(entries[32:])) == 1
-    depth, entries = exact_dedup.directory({5: (10_000, 7, 7)}, 900, 6)
-    assert depth <= 3  # one key can't be split
+    found = exact_dedup.directory(stored({(p << 58) + x: 50 for p in range(64) for x in (1, 5)}), 900, 6)
+    assert found.depth == 3 and found.starts == [p << 61 for p in range(8)]
+    keys = {1: 5000, 9 << 40: 5000, 63 << 58: 10}
+    found = exact_dedup.directory(stored(keys), 900, 6)
+    assert found.depth > 12 and len(set(found.of(np.array(list(keys), np.uint64)).tolist())) == 3  # as deep as it takes
+    found = exact_dedup.directory(stored({5 << 58: 10_000}), 900, 6)
+    assert found.depth <= 3  # one key can't be split
+
+
+def test_signed_keys_find_their_bucket():
+    index = exact_dedup.Directory(1, [0, 1 << 63])
+    assert index.of(np.array([0, 5, -1, -(2**63), 2**63 - 1], np.int64)).tolist() == [0, 0, 1, 1, 0]
+
+
+def test_one_text_in_most_rows(spark):
+    docs = [(i, "the same" if i % 10 else f"other {i}") for i in range(1000)]
+    assert got(exact_dedup.dedup(awkward(spark, docs).repartition(7), bucket_bytes=100, depth=4)) == expected(docs)
 
 
 def test_colliding_keys_are_told_apart(tmp_path):

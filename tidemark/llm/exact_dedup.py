@@ -1,16 +1,19 @@
 """Exact dedup with an extendible-hash index on shared files.
 
 A first pass over the keys (a 64-bit hash of the text) sizes the directory: a bucket that is too large is split by one
-more bit, and the directory doubles whenever a bucket gets as deep as it is. The second pass combines equal texts
+more bit, and the directory doubles whenever a bucket gets as deep as it is. Where cells of DEPTH bits are still too large, a
+further pass refines them by STEP_BITS bits, as deep as the data need. The next pass combines equal texts
 within a batch and writes the rest into the buckets' files in the shared folder. Owner tasks then go through ranges of
 keys: rows with one key form a chain, and within a chain the bytes are compared, so colliding texts stay apart. Owners
-stream their files; neither a bucket that can't be split nor a text with millions of copies has to fit into memory.
+stream their files, and answers leave in lots; of a text an owner holds one copy of the bytes and a few numbers for each batch that had it.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,42 +23,60 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: A bucket with more bytes of text is split; the directory has at most 2 ** MAX_DEPTH entries.
-BUCKET_BYTES, MAX_DEPTH = 4 << 20, 14
+#: A bucket with more bytes of text is split. Bits of the first pass over the keys, of each further one, and of a key at most.
+BUCKET_BYTES, DEPTH, STEP_BITS, KEY_BITS = 4 << 20, 14, 6, 62
 ENTRIES = "bucket int, key long, rep long, best long, n long, members array<long>, sha string, text binary"
 OWNED = "rep long, keep_id long, group_size long"
 
 
-def directory(cells: dict[int, tuple[int, int, int]], bucket_bytes: int, max_depth: int) -> tuple[int, list[int]]:
-    """The global depth and the bucket of each entry. cells: by key prefix of max_depth bits, (bytes, least key, greatest key)."""
-    sums, least, greatest = np.zeros(1 << max_depth, np.int64), {}, {}
-    for prefix, (size, low, high) in cells.items():
-        sums[prefix], least[prefix], greatest[prefix] = size, low, high
-    total = np.concatenate([[0], np.cumsum(sums)])
-    depth, done = 0, []
-    todo = [(0, 0)]
-    while todo:
-        prefix, local = todo.pop()
-        low, high = prefix << (max_depth - local), (prefix + 1) << (max_depth - local)
-        held = [p for p in range(low, high) if p in least] if local >= max_depth - 4 else None
-        alone = held is not None and (not held or (least[held[0]] == greatest[held[-1]] and len(held) == 1))
-        if total[high] - total[low] > bucket_bytes and local < max_depth and not alone:
-            depth = max(depth, local + 1)
-            todo += [(2 * prefix + 1, local + 1), (2 * prefix, local + 1)]
-        else:
-            done.append((prefix, local))
-    entries = [0] * (1 << depth)
-    for bucket, (prefix, local) in enumerate(done):
-        first = prefix << (depth - local)
-        entries[first : first + (1 << (depth - local))] = [bucket] * (1 << (depth - local))
-    return depth, entries
-
-
-def combine(keyed: DataFrame, depth: int, entries: list[int], max_depth: int) -> DataFrame:
+@dataclass
+class Directory:
+    """Buckets as ranges of keys: starts are the least keys (as unsigned numbers) of the buckets, in order; depth is the global depth.
+
+    An entry of the directory of 2 ** depth is the bucket whose range it lies in, so doubling needs no table of that size.
+    """
+
+    depth: int
+    starts: list[int]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return (np.searchsorted(np.array(self.starts, np.uint64), keys.astype(np.int64).view(np.uint64), "right") - 1).astype(np.int32)
+
+
+def directory(sizes: Callable[[int, list[int] | None], dict[int, tuple[int, int, int]]], bucket_bytes: int, depth: int = DEPTH, step: int = STEP_BITS) -> Directory:
+    """Splits buckets until each has at most bucket_bytes or a single key.
+
+    sizes(bits, prefixes): by key prefix of so many bits, (bytes, least key, greatest key); prefixes: of bits - step bits, None for all.
+    """
+    done: list[tuple[int, int]] = []  # (prefix, local depth)
+    cells, bits, todo = sizes(depth, None), depth, [(0, 0)]
+    while True:
+        keys = sorted(cells)
+        totals = np.concatenate([[0], np.cumsum([cells[k][0] for k in keys], dtype=np.int64)])
+        deeper = []
+        while todo:
+            prefix, local = todo.pop()
+            low, high = (bisect.bisect_left(keys, p << (bits - local)) for p in (prefix, prefix + 1))
+            held = keys[low:high]
+            single = len(held) <= 1 and all(cells[k][1] == cells[k][2] for k in held)
+            if totals[high] - totals[low] <= bucket_bytes or single:
+                done.append((prefix, local))
+            elif local < bits:
+                todo += [(2 * prefix + 1, local + 1), (2 * prefix, local + 1)]
+            else:
+                deeper.append((prefix, local))
+        if not deeper or bits + step > KEY_BITS:
+            done += deeper
+            break
+        cells, bits, todo = sizes(bits + step, [p for p, _ in deeper]), bits + step, deeper
+    return Directory(max((local for _, local in done), default=0), sorted(p << (64 - local) for p, local in done))
+
+
+def combine(keyed: DataFrame, index: Directory) -> DataFrame:
     """One entry for each different text of a batch, with the members that it stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made, bucket_of = TaskContext.get().partitionId() << 40, 0, np.array(entries, np.int32)
+        base, made = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             raw, offsets = common.arrays(batch, "text")
             raw = raw.tobytes()
@@ -64,12 +85,11 @@ def combine(keyed: DataFrame, depth: int, entries: list[int], max_depth: int) ->
             for i in range(len(ids)):
                 groups.setdefault(raw[offsets[i] : offsets[i + 1]], []).append(i)
             key = [keys[x[0]] for x in groups.values()]
-            prefix = (np.array(key, np.int64).astype(np.uint64) >> np.uint64(64 - max_depth)).astype(np.int64) >> (max_depth - depth)
             known = [[ids[i] for i in x if ids[i] is not None] for x in groups.values()]
             if key:
                 yield pa.record_batch(
                     [
-                        pa.array(bucket_of[prefix], pa.int32()), pa.array(key, pa.int64()), pa.array(range(base + made, base + made + len(key)), pa.int64()),
+                        pa.array(index.of(np.array(key, np.int64)), pa.int32()), pa.array(key, pa.int64()), pa.array(range(base + made, base + made + len(key)), pa.int64()),
                         pa.array([max(x, default=None) for x in known], pa.int64()), pa.array([len(x) for x in groups.values()], pa.int64()),
                         pa.array([[ids[i] for i in x] for x in groups.values()], pa.list_(pa.int64())), pa.array([hashlib.sha256(x).hexdigest() for x in groups]), pa.array(list(groups), pa.binary()),
                     ],
@@ -107,6 +127,9 @@ def read_chains(filesystem, files: list[str]) -> Iterator[tuple[int, list[tuple[
 def own(spark: SparkSession, path: str, buckets: int) -> DataFrame:
     """Owner tasks: each goes through the files of a range of buckets, that is of keys."""
 
+    def answered(out: list[tuple[int, int | None, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["rep", "keep_id", "group_size"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -119,15 +142,18 @@ def own(spark: SparkSession, path: str, buckets: int) -> DataFrame:
                 for _, chain in read_chains(filesystem, files):
                     for _, entries in chain:
                         keep, size = max((b for _, b, _ in entries if b is not None), default=None), sum(n for *_, n in entries)
-                        out += [(rep, keep, size) for rep, _, _ in entries]
-                for i in range(0, len(out), 50_000):
-                    rep, keep, size = zip(*out[i : i + 50_000], strict=True)
-                    yield pa.record_batch([pa.array(x, pa.int64()) for x in (rep, keep, size)], ["rep", "keep_id", "group_size"])
+                        for rep, _, _ in entries:
+                            out.append((rep, keep, size))
+                            if len(out) >= 50_000:
+                                yield answered(out)
+                                out = []
+                if out:
+                    yield answered(out)
 
     return spark.range(0, buckets, 1, min(buckets, max(common.partitions(spark), buckets // 64))).mapInArrow(run, OWNED)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, depth: int = DEPTH) -> DataFrame:
     """One row for each row of df: doc_id, keep_id (the greatest id among rows with the same text), group_size, kept, text_sha256.
 
     Null texts count as empty. Rows without an id count as members, but never stay unless all rows of the group lack
@@ -136,18 +162,23 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_
     """
     spark = common.prepare(df.sparkSession)
     keyed = common.id_text(df, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    prefix = F.shiftrightunsigned("key", 64 - max_depth)
-    cells = keyed.groupBy(prefix.alias("prefix")).agg(F.sum(F.octet_length("text") + 64).alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).collect()  # at most 2 ** max_depth rows
-    depth, entries = directory({r["prefix"]: (r["size"], r["low"], r["high"]) for r in cells}, bucket_bytes, max_depth)
-    buckets = max(entries) + 1
+
+    def sizes(bits: int, prefixes: list[int] | None) -> dict[int, tuple[int, int, int]]:
+        """At most 2 ** DEPTH rows at first; then 2 ** STEP_BITS for each cell that is still larger than a bucket."""
+        some = keyed if prefixes is None else keyed.join(F.broadcast(spark.createDataFrame([(p,) for p in prefixes], "cell long")), F.shiftrightunsigned("key", 64 - bits + STEP_BITS) == F.col("cell"), "left_semi")
+        found = some.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("prefix")).agg(F.sum(F.octet_length("text") + 64).alias("size"), F.min("key").alias("low"), F.max("key").alias("high"))
+        return {r["prefix"]: (r["size"], r["low"], r["high"]) for r in found.collect()}
+
+    index = directory(sizes, bucket_bytes, depth)
+    buckets = len(index.starts)
     path = common.shared_path(spark, "index")
-    rows = combine(keyed, depth, entries, max_depth)
+    rows = combine(keyed, index)
     n = max(1, min(buckets, 4 * common.partitions(spark)))
     rows.repartition(n, "bucket").sortWithinPartitions("bucket", "key").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-    index = spark.read.schema(rows.schema).parquet(path)
+    written = spark.read.schema(rows.schema).parquet(path)
     owned = own(spark, path, buckets)
     return (
-        index.select("rep", "members", "sha").join(owned.hint("merge"), "rep").select(F.explode("members").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("text_sha256"))
+        written.select("rep", "members", "sha").join(owned.hint("merge"), "rep").select(F.explode("members").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("text_sha256"))
         .select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
     )
 
