@@ -23,6 +23,47 @@ def test_same_ids_as_the_library(spark):
         assert own.decode(ids) == text.replace("▁", " ")
 
 
+def test_random_texts_have_the_ids_of_the_library():
+    rng = random.Random(4)
+    own, theirs = sp.codec(sp.VOCABULARY), library(public_tokenizers.path(sp.VOCABULARY))
+    texts = ["".join(rng.choice("aaabbcdeeeeiio tnrs hlu1234 .,-éß日本") for _ in range(rng.randrange(300))) for _ in range(500)]
+    texts.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)))  # one unbroken word
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == theirs.encode(text), text[:80]
+
+
+def test_paths_are_what_merging_finds():
+    """A hand-made model of the BPE kind with ties of overlapping pairs; the path against merges done one by one."""
+    rng = random.Random(8)
+    for _ in range(20):
+        names = list("abc")
+        while len(names) < 25:
+            p = rng.choice(names) + rng.choice(names)
+            if p not in names and len(p) < 7:
+                names.append(p)
+        model = sp.Model(["<unk>", *names], np.array([0.0, *(-float(i) for i in range(len(names)))]), [sp.UNKNOWN, *[sp.NORMAL] * len(names)], kind=sp.BPE).indexed()
+        for n in range(1, 12):
+            words = ["".join(rng.choice("abc") for _ in range(n)) for _ in range(40)]
+            for word, cuts in zip(words, sp.paths(model, sp._codes(words)), strict=True):
+                parts = list(word)
+                while len(parts) > 1:
+                    rank, at = min((names.index(parts[i] + parts[i + 1]) if parts[i] + parts[i + 1] in names else 99, i) for i in range(len(parts) - 1))
+                    if rank == 99:
+                        break
+                    parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                assert [word[a:b] for a, b, _ in cuts] == parts, (word, names)
+
+
+def test_no_step_no_path(monkeypatch):
+    """The ids come from the steps that neighbours allow: without these they are others."""
+    own = sp.codec(sp.VOCABULARY)
+    right = own.encode(["electroencephalographically"])[0].tolist()
+    own.known.clear()
+    monkeypatch.setattr(sp.Neighbours, "may", lambda self, a, b: np.zeros(len(a), bool))
+    assert own.encode(["electroencephalographically"])[0].tolist() != right
+    own.known.clear()
+
+
 def field(number, value):
     out = bytearray()
 
@@ -81,6 +122,18 @@ def test_frames(spark):
     assert rows(sp.encode(awkward(spark, []))) == []
 
 
+def test_empty_tables(spark):
+    empty = awkward(spark, [])
+    assert rows(sp.digests(empty)) == [] and rows(sp.decode(sp.encode(empty))) == []
+
+
+def test_query_on_awkward_texts(spark):
+    """Repeated rows are reported each, null texts as empty ones; the mark for a space is the only character that doesn't come back."""
+    got = rows(sp.digests(awkward(spark, [*ODD, (77, "\u2581x"), (77, None)])))
+    assert len(got) == len(ODD) + 2 and [r["n_ids"] for r in got if r["doc_id"] in (9, 11)] == [0, 0]
+    assert [r["round_trip"] for r in got if r["doc_id"] == 77] in ([False, True], [True, False])
+
+
 def test_query(spark, sf):
     got = rows(sp.op8_sentencepiece(spark, sf))
     assert got and all(r["round_trip"] for r in got)
