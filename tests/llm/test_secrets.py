@@ -88,3 +88,16 @@ def test_mask(spark):
     assert out.columns == df.columns
     want = [(i, copied + " token=[SECRET] tail 😀" if i < 9 else {9: None, 10: "nothing", 11: "secret=[SECRET]"}[i]) for i, _, _ in docs]
     assert collections.Counter((r["doc_id"], r["text"], r["n_chars"]) for r in rows(out)) == collections.Counter((i, t, None if t is None else len(t)) for i, t in want)
+
+
+def test_repositories_count(spark):
+    """A random value of one owner is live in three of its repositories but not in four; of two owners it is an example from four repositories on."""
+
+    def judged(places):
+        docs = [(i, "token: a1B2c3D4e5F6g7H8i9J0kk", lang, owner, None, "x", "x", "x", "x", "x", "x") for i, (owner, lang) in enumerate(places)]
+        return {(r["n_live"], r["n_example"]) for r in rows(secrets.secret_scan(spark.createDataFrame(docs, SCHEMA)))}
+
+    assert judged([("a", x) for x in "pqr"]) == {(1, 0)}
+    assert judged([("a", x) for x in "pqrs"]) == {(0, 0)}
+    assert judged([("a", "p"), ("b", "p"), ("b", "q")]) == {(0, 0)}
+    assert judged([("a", "p"), ("a", "q"), ("b", "p"), ("b", "q")]) == {(0, 1)}

@@ -1,8 +1,9 @@
 """Secret scans weighed by corpus-wide ownership; DataFrame functions only.
 
 Candidates come from four patterns. The places of a pattern's matches follow from the lengths of the text's pieces
-between them. A value's hash is then counted over the whole corpus by distinct owners and repositories: what many
-owners carry is a copied example; what one owner alone has, and looks random, is taken for a live credential.
+between them. A value's hash is then counted over the whole corpus by distinct owners and repositories: what many owners, or
+several owners in many repositories, carry is a copied example; what one owner alone has, in few repositories, and looks
+random, is taken for a live credential.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ KINDS = {
     "token": (r"[A-Za-z0-9_-]{20,}", 0, 20),
 }
 BASE = ("assign", "access", "hex")
-#: An owner is a source; a repository is an owner's part in one language. A value with this many owners is a copied example.
-WIDE = 3
+#: An owner is a source; a repository is an owner's part in one language. A value with WIDE owners, or with two owners and SPREAD repositories,
+#: is a copied example; so a value of one owner in SPREAD repositories of its own is no live credential either, but boilerplate of that owner.
+WIDE, SPREAD = 3, 4
 #: What looks random: distinct characters of a value.
 DISTINCT = 8
 MASK = "[SECRET]"
@@ -65,11 +67,12 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def judge(found: DataFrame, wide: int = WIDE) -> DataFrame:
-    """Adds live and example to a written table of candidates."""
+def judge(found: DataFrame, wide: int = WIDE, spread: int = SPREAD) -> DataFrame:
+    """Adds live and example to a written table of candidates. The owners' table has a row for each value, so a value that all documents carry can be split in the join."""
     owners = common.save(ownership(found), "owners")
     joined = found.join(owners, "hash")
-    return joined.withColumn("live", F.col("random") & (F.col("n_owners") == 1)).withColumn("example", F.col("n_owners") >= wide)
+    live = F.col("random") & (F.col("n_owners") == 1) & (F.col("n_repos") < spread)
+    return joined.withColumn("live", live).withColumn("example", (F.col("n_owners") >= wide) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= spread)))
 
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, owner: Column, repo: Column) -> DataFrame:
