@@ -97,8 +97,11 @@ def hash_windows(names: np.ndarray, starts: np.ndarray, sizes: np.ndarray, salt:
     return common.mix((sums[starts + sizes] - sums[starts]) * back[starts] + sizes.astype(_U) * _B)
 
 
-def stretches(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """(text, first start, starts, offset of the anchor, key, hash) of windows with one anchor; first: of each text its first word, then the total."""
+def stretches(names: np.ndarray, proof: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """(text, first start, starts, offset of the anchor, key, hash) of windows with one anchor; first: of each text its first word, then the total.
+
+    names and proof are two independent hashes of each word: keys and symbols are made of the names, the hashes that verify a repeat of the proofs.
+    """
     sizes = np.diff(first)
     text = np.repeat(np.arange(len(sizes)), sizes)
     p = np.flatnonzero(np.arange(len(names)) + WIDTH <= np.repeat(first[1:], sizes))
@@ -117,12 +120,12 @@ def stretches(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...] |
     opens[1:] = (anchor[1:] != anchor[:-1]) | (level[1:] != level[:-1]) | (p[1:] != p[:-1] + 1)
     at, n = _runs(opens)
     p, off, key = p[at], anchor[at] - p[at], key[at]
-    return text[p], p - first[text[p]], n, off, key, hash_windows(names, p, n - 1 + WIDTH, 3)
+    return text[p], p - first[text[p]], n, off, key, hash_windows(proof, p, n - 1 + WIDTH, 3)
 
 
-def _hashed(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, _, first, (names,) = common.words(raw, offsets)
-    return names, first
+def _hashed(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, _, first, (names, proof) = common.words(raw, offsets, (0, 1))
+    return names, proof, first
 
 
 def _windows(texts: DataFrame) -> DataFrame:
@@ -153,13 +156,13 @@ def _single(texts: pa.RecordBatch, found: list[np.ndarray], place: np.ndarray) -
         a, b = np.searchsorted(place, [low, high])
         if a == b:
             continue
-        names, first = _hashed(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        names, proof, first = _hashed(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
         size = n[a:b]
         which = np.repeat(np.arange(a, b), size)
         at = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
         p = first[place[which] - low] + at
         widths, one = np.full(len(p), WIDTH), np.ones(len(p), np.int64)
-        key, win = (hash_windows(names, p, widths, salt) for salt in (4, 5))
+        key, win = hash_windows(names, p, widths, 4), hash_windows(proof, p, widths, 5)
         yield repeats.combine(key.view(np.int64), win.view(np.int64), doc[place[which]], found[0][which], repeats.pack(at, one, 0 * one), within=False)
 
 
