@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from texts import awkward, rows
 
-from tidemark.llm import toxicity
+from tidemark.llm import common, toxicity
 
 
 def brute(scores):
@@ -75,3 +75,43 @@ def test_labels_held_out_have_no_part(spark):
     flipped = [(i, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, t in labels]
     a, b = (sorted((r["doc_id"], r["score"]) for r in rows(toxicity.toxicity(awkward(spark, docs), spark.createDataFrame(x, "doc_id long, toxic int")))) for x in (labels, flipped))
     assert a == b
+
+
+def test_least_ratio():
+    """One word in 1,000 reaches 10.83 by chance, one in 100 6.63."""
+    assert abs(toxicity.least_ratio(1000) - 10.828) < 0.01 and abs(toxicity.least_ratio(100) - 6.635) < 0.01
+
+
+def plain_score(text, model):
+    """Score by its definition: each token's score, the segments by splitting at the best one, the evidence's place on the curve."""
+    tokens = toxicity.TOKEN.findall((text or "").lower())
+    scores = [model.scores.get(t, model.rest) for t in tokens]
+    e = toxicity.evidence([s for *_, s in brute(scores)], len(tokens), model.lam, model.k)
+    xs, ps = zip(*model.curve, strict=True)
+    return float(np.interp(e, xs, ps)) * (1 - 1e-6) + 1e-6 * (1 - math.exp(-e))
+
+
+def test_scores_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(common.id_text(docs), labels)
+    got = {r["doc_id"]: r["score"] for r in rows(toxicity.op2_toxicity(spark, sf))}
+    short = [(r.doc_id, r.text) for r in docs.where("length(text) < 350").collect()]
+    assert len(short) > 50 and all(abs(got[i] - plain_score(t, model)) < 1e-9 for i, t in short)
+
+
+def test_repeated_rows_score_equally(spark):
+    docs = [(i, ("vile words here " if i % 3 == 0 else "kind words there ") * 5 + f"number{i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    got = rows(toxicity.toxicity(awkward(spark, [*docs, *docs, (None, docs[0][1])]), labels))
+    scores = {i: {r["score"] for r in got if r["doc_id"] == i} for i, _ in docs}
+    assert len(got) == 121 and all(len(x) == 1 for x in scores.values()) and len(set.union(*scores.values())) > 1
+    assert {r["score"] for r in got if r["doc_id"] is None} == scores[0]
+
+
+def test_kept_is_not_predicted(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(common.id_text(docs), labels)
+    low = {r["doc_id"] for r in rows(toxicity.score(common.id_text(docs), model)) if not r["predicted"]}
+    assert {r["doc_id"] for r in rows(toxicity.keep(docs, model))} == low

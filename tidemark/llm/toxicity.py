@@ -6,8 +6,9 @@ expected number of segments as good in clean text of that length is K * length *
 segments are summed up by that law's sum statistic, and an isotonic fit on the labelled rows turns the
 evidence into a probability.
 
-The classifier is fitted on at most FIT_ROWS labelled rows (those with the least hashes of their ids); its vocabulary
-holds the MODEL_WORDS most significant words, all others score as one. Scoring reads every whole text.
+The classifier is fitted on at most FIT_ROWS labelled rows (those with the least hashes of their ids). A word has a score of its own if
+its log-likelihood ratio is so large that among all words of the fitted texts no more than CHANCE would reach it by chance;
+all others score as one. Scoring reads every whole text. Equal texts score equally, wherever and however often they stand.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-FIT_ROWS, MODEL_WORDS = 40_000, 20_000
-#: Weight of the prior in documents, least log-likelihood ratio of a word with a score of its own, and what every other token loses.
-PRIOR, LEAST_G, DRIFT = 10.0, 30.0, 0.01
+FIT_ROWS = 40_000
+#: Weight of the prior in documents, words that may have a score of their own by chance, and what every other token loses.
+PRIOR, CHANCE, DRIFT = 10.0, 1.0, 0.01
 #: Held out: rows whose crc32 of the id leaves this remainder.
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -78,15 +79,35 @@ def segments(places: list[int], scores: list[float], rest: float) -> list[tuple[
 
 
 def evidence(scores: list[float], n: int, lam: float, k: float) -> float:
-    """-log of the sum statistic's p-value for the best number of segments; 0 or more."""
+    """-log of the p-value of the segments, by the law of the best one or by the sum statistic of the best number of them; 0 or more."""
+    if not scores:
+        return 0.0
     best, total = 0.0, 0.0
     log_kn = math.log(k * max(n, 1))
     for r, s in enumerate(sorted(scores, reverse=True), 1):
+        if r == 1:  # at least one segment as good: 1 - exp(-K n exp(-lambda s))
+            expected = math.exp(min(700.0, log_kn - lam * s))
+            best = lam * s - log_kn if expected < 1e-9 else -math.log(-math.expm1(-expected)) if expected < 30 else 0.0
         total += lam * s - log_kn
         x = total + math.lgamma(r + 1)
-        if x > 0:
-            best = max(best, x - (r - 1) * math.log(x + 1e-9) + math.lgamma(r + 1) + math.lgamma(r) - math.log(r * (r + 1)) + math.log(2)) if r > 1 else max(best, x)
-    return best + sum(scores) * 1e-3
+        if r > 1 and x > 0:
+            best = max(best, x - (r - 1) * math.log(x + 1e-9) + math.lgamma(r + 1) + math.lgamma(r) - math.log(r * (r + 1)) + math.log(2))
+    return best
+
+
+def least_ratio(words: int, chance: float = CHANCE) -> float:
+    """The log-likelihood ratio that no more than chance of so many words reach by chance: its law has one degree of freedom."""
+    low, high = 0.0, 1000.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if words * math.erfc(math.sqrt(mid / 2)) > chance else (low, mid)
+    return high
+
+
+def probability(e: float, curve: list[tuple[float, float]]) -> float:
+    """The score of an evidence: the fitted curve, with a trace of the evidence itself so that equal steps keep their order."""
+    xs, ps = zip(*curve, strict=True)
+    return min(1.0, max(0.0, float(np.interp(e, xs, ps)) * (1 - 1e-6) + 1e-6 * (1 - math.exp(-e))))
 
 
 def scan(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
@@ -100,20 +121,24 @@ def scan(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
 
 
 def _counts(texts: DataFrame) -> DataFrame:
-    """(token, toxic, clean): documents with the token; the token null counts the documents, an empty one the tokens."""
+    """(token, toxic, clean, clean_tokens): documents with the token, and how often it stands in clean ones; the token null counts the documents, an empty one the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: tuple[Counter, Counter] = (Counter(), Counter())
+            often: Counter = Counter()
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
                 tokens = TOKEN.findall(text.as_py().lower())
                 by[toxic].update(set(tokens))
+                if not toxic:
+                    often.update(tokens)
                 by[toxic][None] += 1
                 by[toxic][""] += len(tokens)
             names = list({**by[0], **by[1]})
-            yield pa.record_batch([pa.array(names, pa.string()), *(pa.array([by[x][t] for t in names], pa.int64()) for x in (1, 0))], ["token", "toxic", "clean"])
+            yield pa.record_batch([pa.array(names, pa.string()), *(pa.array([x[t] for t in names], pa.int64()) for x in (by[1], by[0], often))], ["token", "toxic", "clean", "clean_tokens"])
 
-    return texts.mapInArrow(run, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sums = (F.sum(x).alias(x) for x in ("toxic", "clean", "clean_tokens"))
+    return texts.mapInArrow(run, "token string, toxic long, clean long, clean_tokens long").groupBy("token").agg(*sums)
 
 
 def root(pairs: list[tuple[float, float]]) -> float:
@@ -160,12 +185,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     both = F.col("toxic") + F.col("clean")
     part = lambda y, n: F.when(y > 0, y * F.log(F.greatest(y, F.lit(1)) * F.lit(float(n_t + n_c)) / (F.greatest(both, F.lit(1)) * F.lit(float(n))))).otherwise(0.0)
     ratio = 2 * (part(F.col("toxic"), n_t) + part(F.col("clean"), n_c))
-    rows = counts.where("token <> ''").withColumn("g", ratio).where(F.col("g") >= LEAST_G).orderBy(F.col("g").desc(), "token").limit(MODEL_WORDS).collect()
+    words = counts.where("token <> ''")
+    rows = words.withColumn("g", ratio).where(F.col("g") >= least_ratio(words.count())).orderBy("token").collect()  # words of at most fit_rows texts
     odds = lambda y, n, a: math.log((y + a) / (n + PRIOR))
     prior = lambda r: PRIOR * (r["toxic"] + r["clean"]) / (n_t + n_c)
     scores = {r["token"]: odds(r["toxic"], n_t, prior(r)) - odds(r["clean"], n_c, prior(r)) for r in rows}
     rest = -DRIFT
-    background = [(scores[r["token"]], (r["clean"] + prior(r)) / (tokens + PRIOR)) for r in rows]
+    # How often each score comes up in clean text, token by token; a word that clean text hasn't has its prior's share.
+    background = [(scores[r["token"]], (r["clean_tokens"] + prior(r)) / (tokens + PRIOR)) for r in rows]
     background.append((rest, 1 - sum(p for _, p in background)))
     model = Model(scores, rest, root(background), 0.1, [])
 
@@ -200,15 +227,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted, n_tokens, passages (first token, last token, segment score) for each row of docs."""
-    xs, ps = zip(*model.curve, strict=True)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, sizes, passages = [], [], []
             for text in batch.column("text"):
                 n, found = scan(text.as_py(), model)
                 e = evidence([s for *_, s in found], n, model.lam, model.k)
-                scores.append(min(1.0, max(0.0, float(np.interp(e, xs, ps)) * (1 - 1e-6) + 1e-6 * (1 - math.exp(-e)))))
+                scores.append(probability(e, model.curve))
                 sizes.append(n)
                 passages.append([{"first": a, "last": b, "score": s} for a, b, s in found if model.k * n * math.exp(-model.lam * s) < 0.05])
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
@@ -219,14 +244,12 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df that score below the threshold, with all columns; a null text counts as empty."""
-    xs, ps = zip(*model.curve, strict=True)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stays = []
             for text in batch.column(text_col):
                 n, found = scan(text.as_py() or "", model)
-                stays.append(float(np.interp(evidence([s for *_, s in found], n, model.lam, model.k), xs, ps)) < threshold)
+                stays.append(probability(evidence([s for *_, s in found], n, model.lam, model.k), model.curve) < threshold)
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -236,6 +259,7 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row for each row of df: doc_id, held_out, score, predicted, n_tokens, passages.
 
     A null text counts as empty and scores as a text without evidence. A row without an id is scored like others and isn't held out.
+    Repeated rows are each scored, equal texts equally.
     Without labels of both kinds every text gets the same low score. An empty table gives no rows. Other columns of df are left out.
     """
     common.prepare(df.sparkSession)
