@@ -1,4 +1,5 @@
 import collections
+import random
 import zlib
 
 import numpy as np
@@ -92,3 +93,19 @@ def test_long_text_of_words_is_cached_alike(tokenizer):
     for text in (LONG, "a  b   c", " lead", "trail ", "x\n y", "don't 's", "1 2 3", "é  é", "a 　b", "a\x1c b\x85 c"):
         for _ in range(2):
             assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_same_ids_as_the_named_tokenizer(tokenizer):
+    """Over all texts of sf0.1, and over random Unicode."""
+    import pyarrow.dataset as ds
+
+    rng = random.Random(3)
+    chars = [*" \t\n\r'", *"abcdefgXYZ0189.,-_", "\u00a0", "\u3000", "\u2028", "é", "ß", "ſ", "日", "本", "😀", "\u0301", "\u200d", "\x1c", "\x85", "\x00", "\ud7ff", "\ue000", "\U0010ffff"]
+    texts = ["".join(rng.choices(chars, k=rng.randrange(60))) for _ in range(5000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(40)) for _ in range(1000)]
+    texts += [t or "" for t in ds.dataset("/root/testdata/sf0.1/documents.parquet").to_table(columns=["text"])["text"].to_pylist()]
+    encode = packing.Encoder("byte_bpe_50k")
+    for low in range(0, len(texts), 2000):
+        part = texts[low : low + 2000]
+        for text, want in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            assert encode(text) == np.array(want.ids, "<u4").tobytes(), text[:80]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, fingerprint, lm_scoring, minhash, packing, recompression, secrets, sentencepiece, suffix_dedup, toxicity
+from tidemark.llm import exact_dedup, fingerprint, lm_scoring, minhash, oracles, packing, recompression, secrets, sentencepiece, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
+    return dict(oracles.ORACLE)
