@@ -3,8 +3,9 @@
 Every string of WIDTH bytes has an anchor, its GRAM-byte string with the least hash; equal strings have equal anchors at equal
 places. Neighbouring starts with one anchor form a stretch. Where the whole stretch occurs again, its later
 occurrences go. Where stretches with one anchor differ, they are cut into fragments whose starts share a core, and the
-different fragments of a core are sorted as suffixes: starts whose suffixes agree on WIDTH bytes stand together in the
-order, and all but the earliest of them are repeats. Cores with very many fragments are taken apart into
+different fragments of a core are sorted as suffixes, with one symbol in the core's place: starts whose suffixes agree on as
+many symbols as WIDTH bytes make stand together in the order, and all but the earliest of them are repeats. A core is told by two independent
+hashes, and only the bytes around it travel. Cores with very many fragments are taken apart into
 their single starts instead, which again go by the sifting of whole stretches.
 """
 
@@ -24,10 +25,12 @@ from tidemark.llm.suffixes import suffix_array
 WIDTH, GRAM = 100, 32
 #: Anchor places in a string; offsets of a start from its anchor that share a core.
 PLACES, SHARE = WIDTH - GRAM + 1, 18
-#: Bytes of fragments that are sorted at once, and fragments of a core from which it is taken apart.
+#: Bytes of a string outside its core.
+AROUND = SHARE - 1
+#: Symbols of fragments that are sorted at once, and fragments of a core from which it is taken apart.
 SORTED, MANY = 1 << 18, 2000
 _U = np.uint64
-FRAGMENTS = "core long, doc long, row long, start long, piece binary"
+FRAGMENTS = "core long, proof long, doc long, row long, start long, left long, piece binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -114,43 +117,44 @@ def _fragments(texts: pa.RecordBatch, found: list[np.ndarray], place: np.ndarray
         base = offsets[place[some]]
         begin, end = base + first[some], base + last[some] + WIDTH
         core_from, core_to = base + a[some] - near, base + a[some] - far + WIDTH
-        core = np.empty(len(some), _U)
+        core, proof = np.empty(len(some), _U), np.empty(len(some), _U)
         order = np.argsort(core_from, kind="stable")
         at = 0
         while at < len(order):  # in slices of bounded size
             to = max(at + 1, int(np.searchsorted(core_from[order], core_from[order[at]] + common.SLICE)))
             low, high = core_from[order[at]], core_to[order[at:to]].max()
-            core[order[at:to]] = common.range_hashes(raw[low:high], core_from[order[at:to]] - low, core_to[order[at:to]] - low, 1)
+            core[order[at:to]], proof[order[at:to]] = (common.range_hashes(raw[low:high], core_from[order[at:to]] - low, core_to[order[at:to]] - low, salt) for salt in (1, 2))
             at = to
         core = common.mix(core + _U(part))
         view = memoryview(np.ascontiguousarray(raw))
-        pieces = [bytes(view[x:y]) for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
-        yield repeats.table("core doc row start piece", core, doc[place[some]], found[0][some], first[some], pa.array(pieces, pa.binary()))
+        pieces = [bytes(view[w:x]) + bytes(view[y:z]) for w, x, y, z in zip(begin.tolist(), core_from.tolist(), core_to.tolist(), end.tolist(), strict=True)]
+        yield repeats.table("core proof doc row start left piece", core, proof, doc[place[some]], found[0][some], first[some], core_from - begin, pa.array(pieces, pa.binary()))
 
 
-def repeated_starts(pieces: list[bytes], docs: list[int], rows: list[int], starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(fragment, offset) of each start whose string has an earlier occurrence among the fragments."""
+def repeated_starts(pieces: list[bytes], lefts: list[int], cores: list[int], docs: list[int], rows: list[int], starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(fragment, offset) of each start whose string has an earlier occurrence among the fragments. cores: numbers of their cores, behind lefts bytes."""
     sizes = np.array([len(p) for p in pieces])
-    raw = np.frombuffer(b"".join(pieces), np.uint8)
-    ends = np.cumsum(sizes)
-    symbols = np.zeros(len(raw) + len(pieces), np.int64)  # 0 ends each fragment
-    shifted = np.arange(len(raw)) + np.repeat(np.arange(len(pieces)), sizes)
-    symbols[shifted] = raw.astype(np.int64) + 1
+    ends = np.cumsum(sizes + 2)  # with the core's symbol, and a 0 that ends the fragment
+    first = ends - sizes - 2
+    symbols = np.zeros(ends[-1], np.int64)
+    bytes_ = np.ones(ends[-1], bool)
+    bytes_[ends - 1] = bytes_[first + lefts] = False
+    symbols[bytes_] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 1
+    symbols[first + lefts] = np.array(cores, np.int64) + 257
+    n = sizes - AROUND + 1
     valid = np.zeros(len(symbols), bool)
-    for begin, n in zip((ends - sizes + np.arange(len(pieces))).tolist(), (sizes - WIDTH + 1).tolist(), strict=True):
-        valid[begin : begin + n] = True
+    valid[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())] = True
     order = suffix_array(symbols)
     order = order[valid[order]]
-    piece = np.searchsorted(ends + np.arange(len(pieces)), order, "right")
-    at = order - piece  # in raw
+    piece = np.searchsorted(ends, order, "right")
     same = np.zeros(len(order), bool)
-    reach = np.arange(WIDTH)
+    reach = np.arange(AROUND + 1)
     for low in range(1, len(order), 4096):
         high = min(low + 4096, len(order))
-        text = raw[at[low - 1 : high, None] + reach]
+        text = symbols[order[low - 1 : high, None] + reach]
         same[low:high] = (text[1:] == text[:-1]).all(1)
     group = np.cumsum(~same)
-    offset = at - (ends - sizes)[piece]
+    offset = order - first[piece]
     docs, rows, starts = (np.array(x, np.int64)[piece] for x in (docs, rows, starts))
     by = np.lexsort((starts + offset, rows, docs, group))
     later = np.zeros(len(by), bool)
@@ -163,27 +167,29 @@ def _sorted(fragments: DataFrame) -> DataFrame:
     """(row, at): starts that repeat. Equal fragments of a core are told apart first; only different ones are sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[dict[bytes, list[tuple[int, int, int]]]] = []
+        groups: list[dict[tuple[int, bytes], list[tuple[int, int, int]]]] = []
         size, core = 0, None
 
         def done() -> Iterator[pa.RecordBatch]:
             row, at, n = [], [], []
-            pieces, docs, rows, starts = [], [], [], []
-            for group in groups:
-                for piece, places in group.items():
+            pieces, lefts, cores, docs, rows, starts = [], [], [], [], [], []
+            for number, group in enumerate(groups):
+                for (left, piece), places in group.items():
                     first = min(places)
                     for x in places:
                         if x != first:
                             row.append(x[1])
                             at.append(x[2])
-                            n.append(len(piece) - WIDTH + 1)
+                            n.append(len(piece) - AROUND + 1)
                     if len(group) > 1:
                         pieces.append(piece)
+                        lefts.append(left)
+                        cores.append(number)
                         docs.append(first[0])
                         rows.append(first[1])
                         starts.append(first[2])
             if pieces:
-                piece, offset = repeated_starts(pieces, docs, rows, starts)
+                piece, offset = repeated_starts(pieces, lefts, cores, docs, rows, starts)
                 row += np.array(rows, np.int64)[piece].tolist()
                 at += (np.array(starts, np.int64)[piece] + offset).tolist()
                 n += [1] * len(piece)
@@ -192,22 +198,22 @@ def _sorted(fragments: DataFrame) -> DataFrame:
                 yield repeats.table("row at", np.array(row, np.int64), repeats.pack(lo, n, np.zeros(len(n), np.int64)))
 
         for batch in batches:
-            for c, doc, row, start, piece in zip(*(batch.column(x).to_pylist() for x in ("core", "doc", "row", "start", "piece")), strict=True):
+            for *c, doc, row, start, left, piece in zip(*(batch.column(x).to_pylist() for x in ("core", "proof", "doc", "row", "start", "left", "piece")), strict=True):
                 if c != core:
                     if size >= SORTED:
                         yield from done()
                         groups, size = [], 0
                     if groups and len(groups[-1]) == 1 and len(next(iter(groups[-1].values()))) == 1:
-                        size -= len(next(iter(groups.pop())))
+                        size -= len(next(iter(groups.pop()))[1]) + 2
                     groups.append({})
                     core = c
-                held = groups[-1].setdefault(piece, [])
+                held = groups[-1].setdefault((left, piece), [])
                 if not held:
-                    size += len(piece)
+                    size += len(piece) + 2
                 held.append((doc, row, start))
         yield from done()
 
-    dealt = fragments.repartition(common.partitions(fragments.sparkSession), "core").sortWithinPartitions("core")
+    dealt = fragments.repartition(common.partitions(fragments.sparkSession), "core").sortWithinPartitions("core", "proof")
     return dealt.mapInArrow(run, "row long, at long")
 
 
@@ -219,12 +225,14 @@ def _single(fragments: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             raw, offsets = common.arrays(batch, "piece")
-            doc, row, start = repeats.columns(batch, "doc", "row", "start")
-            n = np.diff(offsets) - WIDTH + 1
+            core, proof, doc, row, start, left = repeats.columns(batch, "core", "proof", "doc", "row", "start", "left")
+            n = np.diff(offsets) - AROUND + 1
             piece = np.repeat(np.arange(len(n)), n)
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = offsets[piece] + offset
-            key, win = (common.range_hashes(raw, at, at + WIDTH, salt) for salt in (0, 1))
+            # A string is its core, the bytes around it, and how many of these stand before it.
+            before = (left[piece] - offset).astype(_U)
+            key, win = (common.mix(common.range_hashes(raw, at, at + AROUND, salt) + common.mix(x.view(_U)[piece] + before)) for salt, x in ((0, core), (1, proof)))
             one = np.ones(len(at), np.int64)
             yield repeats.combine(key.view(np.int64), win.view(np.int64), doc[piece], row[piece], repeats.pack(start[piece] + offset, one, 0 * one), within=True)
 
@@ -261,8 +269,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sifted = common.save(repeats.sift(_windows(texts), within=True), "sifted")
     found = sifted.where("doc is null").select("row", "at")
     fragments = common.save(repeats.at_texts(sifted.where("doc is not null").select("row", "at"), path, n_files, _fragments, FRAGMENTS), "fragments")
-    sizes = common.save(fragments.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "cores")
-    grouped = fragments.join(sizes, "core")
+    sizes = common.save(fragments.groupBy("core", "proof").agg(F.count("*").alias("n")).where("n > 1"), "cores")
+    grouped = fragments.join(sizes, ["core", "proof"])
     found = found.union(common.save(_sorted(grouped.where(F.col("n") <= MANY).drop("n")), "starts"))
     single = repeats.sift(_single(grouped.where(F.col("n") > MANY).drop("n")), within=True)
     found = found.union(common.save(single.where("doc is null").select("row", "at"), "starts"))
