@@ -36,6 +36,8 @@ UNKNOWN_PENALTY = 10.0
 CACHED, LONGEST, CELLS = 200_000, 64, 400_000
 #: Characters with a table of their neighbours; the mark for a space stands at 0 there.
 TABLE = 1024
+#: Bits of a hash that are looked up before the sorted keys are.
+FIRST_BITS = 20
 #: Pairs of pieces whose decision is remembered (a power of two), and the time of what is never merged.
 MEMO, NEVER = 1 << 20, 1 << 60
 _U = np.uint64
@@ -111,6 +113,8 @@ class Model:
         hashes = np.array([_hash_of(self.pieces[i]) for i in usable], _U)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(usable, np.int64)[order]
+        self.first_bits = np.zeros(1 << FIRST_BITS, bool)
+        self.first_bits[self.keys >> _U(64 - FIRST_BITS)] = True
         self.by_byte = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
         self.single = {self.pieces[i]: i for i in usable if len(self.pieces[i]) == 1}
         # Neighbouring characters that stand so in some piece; no piece reaches over others.
@@ -143,13 +147,17 @@ def _hash_of(word: str) -> int:
 
 
 def _probe(model: Model, hashes: np.ndarray) -> np.ndarray:
-    """The piece of each hash, -1 for none."""
-    at = np.minimum(np.searchsorted(model.keys, hashes), len(model.keys) - 1)
-    return np.where(model.keys[at] == hashes, model.ids[at], -1)
+    """The piece of each hash, -1 for none. Hashes whose first bits no key has are left out before the sorted keys are searched."""
+    out = np.full(hashes.shape, -1, np.int64)
+    some = np.nonzero(model.first_bits[hashes >> _U(64 - FIRST_BITS)])
+    found = hashes[some]
+    at = np.minimum(np.searchsorted(model.keys, found), len(model.keys) - 1)
+    out[some] = np.where(model.keys[at] == found, model.ids[at], -1)
+    return out
 
 
-def viterbi(model: Model, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """The best segmentation of each row: (start, end, piece), with piece -1 for an unknown character. Of equal scores the one with the longer last piece wins."""
+def viterbi(model: Model, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The best segmentation of each row, as of _traced, with piece -1 for an unknown character. Of equal scores the one with the longer last piece wins."""
     rows, n = codes.shape
     sums, down = _sums(codes)
     best = np.full((rows, n + 1), -np.inf)
@@ -162,15 +170,21 @@ def viterbi(model: Model, codes: np.ndarray) -> list[list[tuple[int, int, int]]]
             score = np.where(found >= 0, model.scores[found], model.least if size == 1 else -np.inf) + best[:, i]
             better = score > best[:, j]
             best[better, j], back[better, j], piece[better, j] = score[better], i, found[better]
-    out = []
-    for r in range(rows):
-        j, cuts = n, []
-        while j:
-            i = int(back[r, j])
-            cuts.append((i, j, int(piece[r, j])))
-            j = i
-        out.append(cuts[::-1])
-    return out
+    return _traced(back, piece)
+
+
+def _traced(back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The paths that the backpointers give, all rows' steps in a line: start, end, piece, and how many steps each row has."""
+    rows, n = len(back), back.shape[1] - 1
+    at, steps = np.full(rows, n), []
+    row = np.arange(rows)
+    while len(row):
+        before = back[row, at]
+        steps.append((row, before, at, piece[row, at]))
+        row, at = row[before > 0], before[before > 0]
+    row, start, end, found = (np.concatenate(x) for x in zip(*steps, strict=True))
+    order = np.lexsort((start, row))
+    return start[order], end[order], found[order], np.bincount(row, minlength=rows)
 
 
 class Neighbours:
@@ -236,8 +250,8 @@ class Neighbours:
         return out
 
 
-def paths(model: Model, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """The path of allowed steps through each row: (start, end, piece), with piece -1 for an unknown character."""
+def paths(model: Model, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The path of allowed steps through each row, as of _traced, with piece -1 for an unknown character."""
     rows, n = codes.shape
     sums, down = _sums(codes)
     near = model.neighbours
@@ -253,15 +267,7 @@ def paths(model: Model, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
         allowed[inner] = near.may(piece[row[inner], before[inner]], last[inner])
         row, last, before = row[allowed], last[allowed], before[allowed]
         back[row, j], piece[row, j] = before, last
-    out = []
-    for r in range(rows):
-        j, cuts = n, []
-        while j:
-            i = int(back[r, j])
-            cuts.append((i, j, int(piece[r, j])))
-            j = i
-        out.append(cuts[::-1])
-    return out
+    return _traced(back, piece)
 
 
 def merges(model: Model, codes: np.ndarray, longest: int = 1 << 62) -> list[list[tuple[int, int, int]]]:
@@ -312,28 +318,28 @@ class Codec:
         other = "".join(sorted(c for c in "\n\t\r" if not any(c in p for p, k in zip(model.pieces, model.kinds, strict=True) if k == NORMAL)))
         self.cut = re.compile(f"[{other}]| +[^ {other}]*|[^ {other}]+" if other else " +[^ ]*|[^ ]+")
 
-    def _split(self, word: str) -> list[str]:
-        """A long word by neighbours that no piece has."""
-        cuts = [j for j in range(1, len(word)) if word[j - 1 : j + 1] not in self.model.joined]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
-
-    def _parts(self, words: list[str]) -> dict[str, list[str]]:
-        """Of each word its parts; most words are one, as a table of common neighbours tells for all at once."""
-        codes = _codes(["".join(words)])[0]
+    def _parts(self, words: list[str]) -> list[list[str]]:
+        """Each word cut between neighbours that no piece has; a table of common neighbours tells for all words at once."""
+        whole = "".join(words)
+        codes = _codes([whole])[0]
         codes = np.where(codes == ord(SPACE), 0, codes)
         ends = np.cumsum([len(w) for w in words])
         low = codes < TABLE
-        apart = ~(low[:-1] & low[1:])
-        apart[~apart] = ~self.near[codes[:-1][~apart], codes[1:][~apart]]
-        apart[ends[:-1] - 1] = False
-        some = set(np.searchsorted(ends, np.flatnonzero(apart), "right").tolist())
-        return {w: self._split(w) if i in some else [w] for i, w in enumerate(words)}
+        rare = ~(low[:-1] & low[1:])
+        apart = np.zeros(len(codes), bool)  # the place ends a part
+        apart[:-1][~rare] = ~self.near[codes[:-1][~rare], codes[1:][~rare]]
+        for j in np.flatnonzero(rare).tolist():
+            apart[j] = whole[j : j + 2] not in self.model.joined
+        apart[ends - 1] = True
+        cuts = (np.flatnonzero(apart) + 1).tolist()
+        pieces = [whole[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        last = np.searchsorted(cuts, ends).tolist()
+        return [pieces[a : b + 1] for a, b in zip([0, *(x + 1 for x in last[:-1])], last, strict=True)]
 
     def fresh(self, words: list[str]) -> None:
         by: dict[int, list[str]] = {}
-        marked = [w.replace(" ", SPACE) for w in words]
-        parts = self._parts(marked)
-        for p in {p for x in parts.values() for p in x}:
+        parts = self._parts([w.replace(" ", SPACE) for w in words])
+        for p in {p for x in parts for p in x}:
             by.setdefault(len(p), []).append(p)
         ids: dict[str, bytes] = {}
         segment = viterbi if self.model.kind == UNIGRAM else paths
@@ -341,13 +347,15 @@ class Codec:
             step = max(1, CELLS // n)
             for at in range(0, len(same), step):
                 chunk = same[at : at + step]
-                for word, cuts in zip(chunk, segment(self.model, _codes(chunk)), strict=True):
-                    found = [piece for _, _, piece in cuts]
-                    if min(found) < 0:
-                        found = [x for a, b, piece in cuts for x in self._ids(word[a:b], piece)]
-                    ids[word] = array("I", found).tobytes()
-        for w, m in zip(words, marked, strict=True):
-            self.known[w] = b"".join([ids[p] for p in parts[m]])
+                start, end, found, sizes = segment(self.model, _codes(chunk))
+                raw, upto = found.astype("<u4").tobytes(), np.cumsum(sizes)
+                for word, a, b in zip(chunk, (upto - sizes).tolist(), upto.tolist(), strict=True):
+                    ids[word] = raw[4 * a : 4 * b]
+                for r in np.unique(np.searchsorted(upto, np.flatnonzero(found < 0), "right")).tolist():
+                    some = range(int(upto[r] - sizes[r]), int(upto[r]))
+                    ids[chunk[r]] = array("I", [x for k in some for x in self._ids(chunk[r][start[k] : end[k]], int(found[k]))]).tobytes()
+        for w, x in zip(words, parts, strict=True):
+            self.known[w] = ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x])
 
     def _ids(self, text: str, piece: int) -> list[int]:
         if piece >= 0:
