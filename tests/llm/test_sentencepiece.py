@@ -50,10 +50,10 @@ def test_paths_are_what_merging_finds():
                 cuts, at = list(zip(start[at : at + size].tolist(), end[at : at + size].tolist(), strict=True)), at + size
                 parts = list(word)
                 while len(parts) > 1:
-                    rank, at = min((names.index(parts[i] + parts[i + 1]) if parts[i] + parts[i + 1] in names else 99, i) for i in range(len(parts) - 1))
+                    rank, k = min((names.index(parts[i] + parts[i + 1]) if parts[i] + parts[i + 1] in names else 99, i) for i in range(len(parts) - 1))
                     if rank == 99:
                         break
-                    parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                    parts[k : k + 2] = [parts[k] + parts[k + 1]]
                 assert [word[a:b] for a, b in cuts] == parts, (word, names)
 
 
