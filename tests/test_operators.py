@@ -198,4 +198,4 @@ def test_ruin_stays_ruin(spark):
     days = [("2020-01-01", 0.5), ("2020-01-20", -1.2), ("2020-02-03", 0.3)]
     p = spark.createDataFrame(days, "d string, net double").withColumn("d", F.to_date("d"))
     found = research.equity(p).orderBy("d").collect()
-    assert [r["equity"] for r in found][1:] == [0.0, 0.0] and [r["drawdown"] for r in found] == [0.0, 1.0, 1.0]
+    assert [r["le"] for r in found][1:] == [None, None] and [r["ruined"] for r in found] == [False, True, True] and [r["drawdown"] for r in found] == [0.0, 1.0, 1.0]

@@ -6,6 +6,7 @@ all that is kept, so neither a long series nor a batch has to fit into memory.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -205,3 +206,61 @@ def seeded_variance_step(decay: float, burn_in: int) -> tuple[Callable[[], dict]
         return [(at, known)]
 
     return lambda: {"v": None, "n": 0, "sum": 0.0}, step
+
+
+def adaptive_step(kind: str) -> tuple[Callable[[], dict], Callable]:
+    """Bars whose threshold comes with each row: (time, price, quantity, sign, threshold). kind: dollar, imbalance or runs.
+
+    A null threshold closes nothing. What is beyond the threshold stays for the next bar, as with fixed ones.
+    """
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        at, price, qty, sign, threshold = row
+        if s["n"] is None:
+            _opened(s, price)
+        s["h"], s["l"], s["n"], s["vol"] = max(s["h"], price), min(s["l"], price), s["n"] + 1, s["vol"] + qty
+        side = "sells" if kind == "runs" and sign < 0 else "sum"
+        s[side] += price * qty if kind == "dollar" else qty if kind == "runs" else sign * qty
+        if threshold is None or abs(s[side]) < threshold:
+            return []
+        done = (at, s["o"], s["h"], s["l"], price, s["vol"], s["n"])
+        rest = s[side] - threshold if s[side] > 0 else s[side] + threshold
+        _opened(s, price)
+        s[side] = rest
+        return [done]
+
+    return lambda: {"n": None, "sum": 0.0, "sells": 0.0}, step
+
+
+def break_step(limit: float, least: int) -> tuple[Callable[[], dict], Callable]:
+    """Two-sided sums of standardised residuals; a break restarts them, and the next one needs least rows: (time, rows since the last break)."""
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        at, x = row
+        s["since"] += 1
+        if x is not None:
+            s["up"], s["down"] = max(0.0, s["up"] + x), min(0.0, s["down"] + x)
+            if (s["up"] > limit or s["down"] < -limit) and s["since"] >= least:
+                s["up"] = s["down"] = 0.0
+                s["since"] = 0
+        return [(at, s["since"])]
+
+    return lambda: {"up": 0.0, "down": 0.0, "since": 10**6}, step
+
+
+def smoother_step(period: int) -> tuple[Callable[[], dict], Callable]:
+    """A two-pole low-pass filter: (time, value)."""
+    a = math.exp(-math.sqrt(2) * math.pi / period)
+    b = 2 * a * math.cos(math.sqrt(2) * math.pi / period)
+    gain = 1 - b + a * a
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        at, x = row
+        if s["n"] < 2:
+            y = x
+        else:
+            y = gain * (x + s["x"]) / 2 + b * s["y"] - a * a * s["z"]
+        s.update(x=x, z=s["y"], y=y, n=s["n"] + 1)
+        return [(at, y)]
+
+    return lambda: {"x": 0.0, "y": 0.0, "z": 0.0, "n": 0}, step

@@ -137,7 +137,7 @@ def cap_participation(spark, d):
     return out(signal(spark, d).join(v, ["sym", "d"]), "sym", "d", w=F.signum("x") * F.least(F.abs("x"), 0.05 * C("adv") / 1e5))
 
 
-@query("degrossing_tiers", f"WITH {BOOK}, x AS (SELECT d, 1 - equity / max(equity) OVER (ORDER BY d) AS dd FROM eq) SELECT d, CASE WHEN dd >= 0.2 THEN 0.0 WHEN dd >= 0.1 THEN 0.5 WHEN dd >= 0.05 THEN 0.75 ELSE 1.0 END AS m FROM x WHERE abs(dd - 0.2) > 1e-9 AND abs(dd - 0.1) > 1e-9 AND abs(dd - 0.05) > 1e-9".replace("0.0 WHEN", "0.0::DOUBLE WHEN"))
+@query("degrossing_tiers", f"WITH {BOOK}, x AS (SELECT d, drawdown AS dd FROM curve) SELECT d, CASE WHEN dd >= 0.2 THEN 0.0 WHEN dd >= 0.1 THEN 0.5 WHEN dd >= 0.05 THEN 0.75 ELSE 1.0 END AS m FROM x WHERE abs(dd - 0.2) > 1e-9 AND abs(dd - 0.1) > 1e-9 AND abs(dd - 0.05) > 1e-9".replace("0.0 WHEN", "0.0::DOUBLE WHEN"))
 def degrossing(spark, d):
     x = equity(book(spark, d))
     for level in (0.2, 0.1, 0.05):

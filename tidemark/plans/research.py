@@ -309,7 +309,8 @@ def turnover(spark, d):
 
 BOOK = f"""{WEIGHTS}, h AS (SELECT sym, d, r, w, lag(w) OVER (PARTITION BY sym ORDER BY d) AS held FROM w),
  p AS (SELECT d, sum(coalesce(held, 0) * coalesce(r, 0)) - 0.0005 * sum(abs(w - coalesce(held, 0))) AS net FROM h GROUP BY d),
- eq AS (SELECT d, net, CASE WHEN max(CASE WHEN net <= -1 THEN 1 ELSE 0 END) OVER (ORDER BY d) = 1 THEN 0 ELSE exp(sum(CASE WHEN net > -1 THEN ln(1 + net) END) OVER (ORDER BY d)) END AS equity FROM p)"""
+ eq AS (SELECT d, net, max(CASE WHEN net <= -1 THEN 1 ELSE 0 END) OVER (ORDER BY d) = 1 AS ruined, CASE WHEN max(CASE WHEN net <= -1 THEN 1 ELSE 0 END) OVER (ORDER BY d) = 0 THEN sum(CASE WHEN net > -1 THEN ln(1 + net) END) OVER (ORDER BY d) END AS le FROM p),
+ curve AS (SELECT *, CASE WHEN ruined THEN 1 ELSE 1 - exp(le - max(le) OVER (ORDER BY d)) END AS drawdown FROM eq)"""
 
 
 def book(spark, d) -> DataFrame:
@@ -323,28 +324,24 @@ RUINED = lambda: (C("net") <= -1).cast("int")
 
 
 def equity(p: DataFrame) -> DataFrame:
-    """Compounds a book's days, month by month. A day that loses all is ruin: equity is 0 from there on, and the drawdown 1."""
-    p = W.running(p, "d", F.trunc("d", "month"), grown=GROWN(), ruined=RUINED())
-    p = p.withColumn("equity", F.when(C("ruined") > 0, 0.0).otherwise(F.exp("grown")))
-    return W.running_max(p, "d", "peak", "equity").withColumn("drawdown", F.when(C("peak") > 0, 1 - F.try_divide("equity", "peak")).otherwise(1.0))
+    """Compounds a book's days, month by month, in logs, which can't overflow: le, ruined, drawdown. A day that loses all is ruin: le is null from there on, and the drawdown 1."""
+    p = W.running(p, "d", F.trunc("d", "month"), grown=GROWN(), lost=RUINED())
+    p = p.withColumn("ruined", C("lost") > 0).withColumn("le", F.when(C("lost") == 0, C("grown")))
+    return W.running_max(p, "d", "peak", "le").withColumn("drawdown", F.when(C("ruined"), 1.0).otherwise(1 - F.exp(C("le") - C("peak"))))
 
 
-LOG_EQUITY = "CASE WHEN equity > 0 THEN round(ln(equity), 5) + 0.0 END"
-
-
-@query("book_vectorized", f"WITH {BOOK} SELECT d, round(net, 6) + 0.0 AS net, {LOG_EQUITY} AS log_equity, equity = 0 AS ruined FROM eq")
+@query("book_vectorized", f"WITH {BOOK} SELECT d, round(net, 6) + 0.0 AS net, round(le, 5) + 0.0 AS log_equity, ruined FROM eq")
 def book_vectorized(spark, d):
-    e = equity(book(spark, d))
-    return e.select("d", (F.round("net", 6) + 0.0).alias("net"), F.when(C("equity") > 0, F.round(F.log("equity"), 5) + 0.0).alias("log_equity"), (C("equity") == 0).alias("ruined"))
+    return equity(book(spark, d)).select("d", (F.round("net", 6) + 0.0).alias("net"), (F.round("le", 5) + 0.0).alias("log_equity"), "ruined")
 
 
-@query("drawdown_curve", f"WITH {BOOK} SELECT d, round(CASE WHEN max(equity) OVER (ORDER BY d) > 0 THEN 1 - equity / max(equity) OVER (ORDER BY d) ELSE 1 END, 5) + 0.0 AS drawdown FROM eq")
+@query("drawdown_curve", f"WITH {BOOK} SELECT d, round(drawdown, 5) + 0.0 AS drawdown FROM curve")
 def drawdown(spark, d):
     return equity(book(spark, d)).select("d", (F.round("drawdown", 5) + 0.0).alias("drawdown"))
 
 
-YEARLY = f"""WITH {BOOK}, y AS (SELECT *, year(d) AS y, CASE WHEN max(CASE WHEN net <= -1 THEN 1 ELSE 0 END) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN net > -1 THEN ln(1 + net) END) OVER w) END AS e FROM p WINDOW w AS (PARTITION BY year(d) ORDER BY d)),
- z AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY y ORDER BY d) > 0 THEN 1 - e / max(e) OVER (PARTITION BY y ORDER BY d) ELSE 1 END AS dd FROM y)
+YEARLY = f"""WITH {BOOK}, y AS (SELECT *, year(d) AS y, max(CASE WHEN net <= -1 THEN 1 ELSE 0 END) OVER w = 1 AS lost, sum(CASE WHEN net > -1 THEN ln(1 + net) END) OVER w AS l FROM p WINDOW w AS (PARTITION BY year(d) ORDER BY d)),
+ z AS (SELECT *, CASE WHEN lost THEN 1 ELSE 1 - exp(l - max(l) OVER (PARTITION BY y ORDER BY d)) END AS dd FROM y)
  SELECT CAST(y AS INT) AS y, count(*) AS n, CASE WHEN min(net) > -1 THEN round(sum(CASE WHEN net > -1 THEN ln(1 + net) END), 5) END AS log_total, round(avg(net) / stddev_samp(net) * sqrt(252.0), 4) AS sharpe, round(max(dd), 5) AS worst FROM z GROUP BY y"""
 
 
@@ -353,8 +350,8 @@ def yearly(spark, d):
     """By year; a year with a day that loses all has no log_total, and 1 as its worst drawdown."""
     p = book(spark, d).withColumn("y", F.year("d"))
     w = Window.partitionBy("y").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    z = p.withColumn("e", F.when(F.max(RUINED()).over(w) == 1, 0.0).otherwise(F.exp(F.sum(GROWN()).over(w))))
-    z = z.withColumn("dd", F.when(F.max("e").over(w) > 0, 1 - F.try_divide("e", F.max("e").over(w))).otherwise(1.0))
+    z = p.withColumn("lost", F.max(RUINED()).over(w) == 1).withColumn("l", F.sum(GROWN()).over(w))
+    z = z.withColumn("dd", F.when(C("lost"), 1.0).otherwise(1 - F.exp(C("l") - F.max("l").over(w))))
     total = F.when(F.min("net") > -1, F.round(F.sum(GROWN()), 5))
     return z.groupBy("y").agg(F.count("*").alias("n"), total.alias("log_total"), F.round(F.try_divide(F.avg("net"), F.stddev_samp("net")) * math.sqrt(252), 4).alias("sharpe"), F.round(F.max("dd"), 5).alias("worst"))
 
