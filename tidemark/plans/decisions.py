@@ -767,7 +767,7 @@ def pre_trade_cost(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round((0.0005 + 0.8 * 0.02 * F.sqrt(C("l_extendedprice") / 5e6)) * 1e4, 5).alias("bps"))
 
 
-@query("label_costs", f"WITH {EVENTS_SQL}, {FUNDING_SQL}, u AS (SELECT sym, d, sum(rate) AS x FROM funding GROUP BY ALL), c AS (SELECT r.sym, r.i, sum(coalesce(u.x, 0)) OVER (PARTITION BY r.sym ORDER BY r.i) AS s FROM rets r LEFT JOIN u USING (sym, d)), n AS (SELECT sym, max(i) AS n FROM rets GROUP BY sym) SELECT ev.sym, ev.t0, round((0.0021 + b.s - a.s) * 1e4, 6) AS bps FROM ev JOIN n USING (sym) JOIN c a ON a.sym = ev.sym AND a.i = ev.t0 JOIN c b ON b.sym = ev.sym AND b.i = least(ev.t1, n.n)")
+@query("label_costs", f"WITH {EVENTS_SQL}, {FUNDING_SQL}, u AS (SELECT sym, d, sum(rate) AS x FROM funding GROUP BY ALL), c AS (SELECT r.sym, r.i, sum(coalesce(u.x, 0)) OVER (PARTITION BY r.sym ORDER BY r.i) AS s FROM rets r LEFT JOIN u USING (sym, d)), n AS (SELECT sym, max(i) AS n FROM rets GROUP BY sym) SELECT ev.sym, ev.t0, round((0.0021 + b.s - a.s) * 1e4, 8) AS bps FROM ev JOIN n USING (sym) JOIN c a ON a.sym = ev.sym AND a.i = ev.t0 JOIN c b ON b.sym = ev.sym AND b.i = least(ev.t1, n.n)")
 def label_costs(spark, d):
     """A round trip and the funding between entry and exit, from running sums."""
     u = funding(spark, d).groupBy("sym", "d").agg(F.sum("rate").alias("x"))
@@ -775,7 +775,7 @@ def label_costs(spark, d):
     n = c.groupBy("sym").agg(F.max("i").alias("n"))
     e = events(spark, d).join(F.broadcast(n), "sym").withColumn("t1", F.least("t1", "n"))  # a row for each symbol
     e = e.join(c.select("sym", C("i").alias("t0"), C("s").alias("a")), ["sym", "t0"]).join(c.select("sym", C("i").alias("t1"), C("s").alias("b")), ["sym", "t1"])
-    return e.select("sym", "t0", F.round((0.0021 + C("b") - C("a")) * 1e4, 6).alias("bps"))
+    return e.select("sym", "t0", F.round((0.0021 + C("b") - C("a")) * 1e4, 8).alias("bps"))
 
 
 @query("execution_analysis", f"WITH {TCA}, x AS (SELECT sym, bps, 5 + 0.1 * abs(bps) AS expected FROM s) SELECT sym, count(*) AS n, round(avg(bps - expected), 4) AS excess, round(avg(CASE WHEN bps > expected THEN 1.0 ELSE 0 END), 6) AS above FROM x GROUP BY sym")
