@@ -139,7 +139,7 @@ def folded(b: DataFrame, maker, x: str) -> DataFrame:
 
 
 _ewm("ewm_adjust_true", "lr", 0.2, True)
-_ewm("ewm_adjust_false", "c", 0.2, False)
+_ewm("ewm_adjust_false", "lr", 0.2, False)
 
 
 @query(

@@ -612,11 +612,11 @@ def paper_step(slip: float, fee: float):
     return lambda: {"q": 0.0, "cash": 0.0}, step
 
 
-@query("paper_fills", f"WITH {TICKS_SQL}, x AS (SELECT *, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS q FROM ticks) SELECT sym, seq AS at, sum(q) OVER w AS position, round(price * (1 + 0.0007 * sign(q)), 6) AS paid, round(-sum(q * price * (1 + 0.0007 * sign(q))) OVER w, 2) AS cash FROM x WINDOW w AS (PARTITION BY sym ORDER BY ts, seq)")
+@query("paper_fills", f"WITH {TICKS_SQL}, x AS (SELECT *, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS q FROM ticks) SELECT sym, seq AS at, sum(q) OVER w AS position, round(price * (1 + 0.0007 * sign(q)), 6) AS paid, round(-sum(q * price * (1 + 0.0007 * sign(q))) OVER w, 7) AS cash FROM x WINDOW w AS (PARTITION BY sym ORDER BY ts, seq)")
 def paper_fills(spark, d):
     t = ticks(spark, d).select("sym", "ts", "seq", "price", F.when(C("side") == "buy", C("qty")).otherwise(-C("qty")).alias("q"))
     k = S.fold(t, "sym", ["ts", "seq"], ["seq", "price", "q"], *paper_step(0.0002, 0.0005), "sym string, at long, position double, paid double, cash double", ["sym", "at", "position", "paid", "cash"], [pa.string(), pa.int64(), *[pa.float64()] * 3])
-    return k.select("sym", "at", "position", F.round("paid", 6).alias("paid"), F.round("cash", 2).alias("cash"))
+    return k.select("sym", "at", "position", F.round("paid", 6).alias("paid"), F.round("cash", 7).alias("cash"))
 
 
 @query("accrued_funding", f"WITH {FUNDING_SQL}, {BARS_SQL}, p AS (SELECT sym, d, sum(buy - sell) OVER (PARTITION BY sym ORDER BY d) AS q, c FROM bars), u AS (SELECT sym, d, sum(rate) AS x FROM funding GROUP BY ALL) SELECT p.sym, p.d, round(-q * c * x, 4) AS flow FROM p JOIN u USING (sym, d)")
