@@ -13,7 +13,10 @@ from tidemark.llm import common, exact_dedup, minhash, packing, secrets, toxicit
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't mark as toxic. Fitted on the labels of sf_dir and the texts at hand."""
+    """Documents that the classifier doesn't mark as toxic. Fitted on the labels of sf_dir and the texts at hand.
+
+    A null or empty text has no evidence and stays; repeated rows are all kept or all dropped; an empty table gives none.
+    """
     common.prepare(spark)
     model = toxicity.fit(common.id_text(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep(docs, model)
@@ -28,18 +31,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, a similarity of 0.8 or more), the documents with the least id. Rows without an id stay."""
+    """Of each group of near copies (five-word shingles, a similarity of 0.8 or more), the documents with the least id. Rows without an id stay.
+
+    Texts without words, null ones among them, are linked with nothing and stay. Repeated rows of a kept id stay; an empty table gives none.
+    """
     gone = common.save(minhash.near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct(), "near")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets that aren't widely copied examples masked."""
+    """All documents, with secrets that aren't widely copied examples masked. Null texts stay null, repeated rows are masked alike, an empty table gives none."""
     return secrets.mask(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
+    """The pieces of all documents with their sequences and offsets. Null and empty texts are a piece of the end mark alone, repeated rows are packed as often as they stand there, an empty table gives none."""
     return packing.pack(docs)
 
 
