@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import sequential as S
-from tidemark.plans import decisions, gates, panels, temporal
+from tidemark.plans import decisions, extras, gates, panels, temporal
 
 
 def steps(maker, rows):
@@ -233,3 +233,39 @@ def test_own_data_source(spark):
 
     gates.register_source(spark, Bars)
     assert sorted(tuple(r) for r in spark.read.format("own_bars").load().collect()) == [("a", 1.0), ("b", 2.0)]
+
+
+def test_model_fits():
+    rng = np.random.default_rng(5)
+    calm = rng.normal(0, 0.01, 400)
+    wild = rng.normal(0, 0.05, 400)
+    found = extras.hidden_fit(np.concatenate([calm, wild]))
+    assert abs(found["low"] / 0.01 - 1) < 0.15 and abs(found["high"] / 0.05 - 1) < 0.15 and found["stay"] > 0.9
+    v, x = 1.0, []
+    for _ in range(1000):
+        x.append(rng.normal() * math.sqrt(v))
+        v = 0.1 + 0.18 * x[-1] ** 2 + 0.72 * v
+    fit = extras.garch(np.array(x))
+    assert 0.05 < fit["alpha"] < 0.35 and 0.5 <= fit["beta"] < 0.95
+
+
+def test_phase_of_a_wave():
+    t = np.arange(64)
+    p = extras.phase(np.stack([np.cos(2 * np.pi * (t - s) / 16) for s in range(16)]))
+    assert len(np.unique(np.round(p, 2))) > 8
+
+
+def test_levered_scale_holds_its_margin():
+    found = steps(extras.levered_step(10.0, 0.5, 0.0), [(1, None), (2, -20.0), (3, 1.0)])
+    assert abs(found[0][1] - 10.0) < 1e-6 and found[2][1] < found[0][1] and found[2][1] * 0.2 <= 0.5 + 1e-6
+
+
+def test_market_sink(spark, tmp_path):
+    bars = spark.createDataFrame([("a", 1, 1.0, 2.0, 0.5, 1.5, 3.0)], "sym string, d int, o double, h double, l double, c double, vol double")
+    extras.write_market(bars, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 1
+    from tidemark.sources import store
+
+    for bad in (bars.union(bars), bars.withColumn("h", F.lit(0.1))):
+        with pytest.raises(store.ContractError):
+            extras.write_market(bad, str(tmp_path / "n"))

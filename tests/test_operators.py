@@ -199,3 +199,27 @@ def test_ruin_stays_ruin(spark):
     p = spark.createDataFrame(days, "d string, net double").withColumn("d", F.to_date("d"))
     found = research.equity(p).orderBy("d").collect()
     assert [r["le"] for r in found][1:] == [None, None] and [r["ruined"] for r in found] == [False, True, True] and [r["drawdown"] for r in found] == [0.0, 1.0, 1.0]
+
+
+def test_streams_settle_once_and_report(spark, sf, stream, tmp_path):
+    metrics, seen = live.Metrics(), []
+    spark.streams.addListener(metrics)
+    path = str(tmp_path / "out")
+    write, send = live.once(path), live.routed({"buy": seen.append}, "side", 2)
+
+    def both(batch, number):
+        write(batch, number)
+        write(batch, number)  # a batch that runs again
+        send(batch, number)
+
+    q = live.tick_stream(spark, stream).writeStream.foreachBatch(both).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert spark.read.parquet(path).count() == n and all(len(x) <= 3 for x in seen) and len(seen) == 3
+    batches = lambda: [r["batch"] for r in metrics.records if r.get("rows")]
+    for _ in range(50):
+        if len(batches()) == 3:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(metrics)
+    assert batches() == [0, 1, 2]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.shipping import ship
@@ -71,3 +73,46 @@ def stateful(t: DataFrame, by: str, order: list[str], columns: list[str], start:
 
     ship(t.sparkSession)
     return t.withWatermark(time, late).groupBy(by).applyInPandasWithState(run, schema, f"{state_schema}, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def once(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each micro-batch goes to a folder of its own, so that a batch that runs again replaces itself: every row is settled exactly once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def routed(routes: dict[str, Callable[[list], None]], kind: str = "kind", at_once: int = 1000) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: alerts go to the route of their kind, at most at_once of them with the number of all."""
+
+    def send(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for name, route in routes.items():
+            mine = batch.where(F.col(kind) == name)
+            if n := mine.count():
+                route([{"batch": number, "total": n}, *(r.asDict() for r in mine.limit(at_once).collect())])
+        batch.unpersist()
+
+    return send
+
+
+class Metrics(StreamingQueryListener):
+    """Rows, durations and state of every micro-batch, kept as the last so many records."""
+
+    def __init__(self, keep: int = 1000):
+        self.records: deque = deque(maxlen=keep)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802  the listener's own names
+        self.records.append({"started": str(event.id)})
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.records.append({"id": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "ms": dict(p.durationMs), "state": [s.numRowsTotal for s in p.stateOperators]})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.records.append({"ended": str(event.id)})
