@@ -1,6 +1,7 @@
 import collections
 import hashlib
 
+import numpy as np
 from texts import ODD, awkward, rows
 
 from tidemark.llm import fingerprint
@@ -74,3 +75,38 @@ def test_likeness_estimates_the_shared_part():
         b = " ".join(words[2000 - int(2000 * share) : 4000 - int(2000 * share)])
         (ea, eb), (ca, cb) = fingerprint.vectors([a, b])
         assert abs(fingerprint.likeness((ea, ca), (eb, cb)) - share) < 0.2
+
+
+def plain(text):
+    """A text's lanes by their definition: the sum of its lines' lanes, each line by itself."""
+    exact, counts = np.zeros(fingerprint.EXACT, np.uint64), np.zeros(fingerprint.LANES, np.uint16)
+    for line in text.split("\n"):
+        e, c = fingerprint.vectors([line])
+        exact, counts = exact + e[0], counts + c[0]
+    return exact, counts
+
+
+def alike(a, b):
+    """1 for equal lanes, else what the squared lengths of the counts and of their difference leave."""
+    if a[0].tolist() == b[0].tolist():
+        return 1.0
+    signed = lambda x: [v - 65536 if v > 32767 else v for v in x.tolist()]
+    p, q = signed(a[1]), signed(b[1])
+    total = sum(v * v for v in p) + sum(v * v for v in q)
+    return min(1.0, max(0.0, 1 - sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) / total)) if total else 0.0
+
+
+def test_every_column_by_brute_force(spark, sf):
+    docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in rows(fingerprint.op10_fingerprint(spark, sf))}
+    lanes = [plain(t) for _, t in docs]
+    assert len(got) == len(docs)
+    for k, (i, text) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, changed = lanes[k], plain(edited)
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["fingerprint"] == fingerprint.encode(*own) and r["edited_fingerprint"] == fingerprint.encode(*changed)
+        assert abs(r["near_edited"] - alike(own, changed)) < 1e-9 and abs(r["near_next"] - alike(own, lanes[(k + 1) % len(docs)])) < 1e-9
