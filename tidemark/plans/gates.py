@@ -127,6 +127,10 @@ def deflated_monthly(spark, d):
     return spark.createDataFrame(found, "sym string, trials int, p double")
 
 
+#: Common days that tests by bootstrap need; with fewer they give no rows.
+FEWEST = 20
+
+
 def superior(diffs: np.ndarray, n_boot: int, block: float, rng: np.random.Generator) -> tuple[float, float, float]:
     """p-values (lower, consistent, upper) of the test that no strategy beats the benchmark. diffs: days by strategies."""
     from tidemark.plans.more import stationary_indices
@@ -134,7 +138,7 @@ def superior(diffs: np.ndarray, n_boot: int, block: float, rng: np.random.Genera
     n = len(diffs)
     mean, sd = diffs.mean(0), diffs.std(0, ddof=1)
     stat = max(0.0, float((math.sqrt(n) * mean / sd).max()))
-    bar = -sd / math.sqrt(n) * math.sqrt(2 * math.log(math.log(n)))
+    bar = -sd / math.sqrt(n) * math.sqrt(2 * math.log(max(1.0, math.log(n))))
     centres = (np.maximum(mean, 0), np.where(mean >= bar, mean, 0), mean)
     hits = np.zeros(3)
     for _ in range(n_boot):
@@ -155,6 +159,8 @@ def day_matrix(spark, d) -> tuple[list[str], np.ndarray]:
 def superior_ability(spark, d):
     """Whether any series beats the first, by a stationary bootstrap of common days; and the gate at 0.05. Replicates are dealt out with their seeds."""
     names, x = day_matrix(spark, d)
+    if len(x) < FEWEST:
+        return spark.createDataFrame([], "lower double, consistent double, upper double, passes boolean")
     diffs = x[:, 1:] - x[:, :1]
     ship(spark)
 
@@ -173,6 +179,8 @@ def sharpe_difference(spark, d):
     from tidemark.plans.decisions import circular_blocks
 
     names, x = day_matrix(spark, d)
+    if len(x) < FEWEST:
+        return spark.createDataFrame([], "x string, y string, diff double, p double")
     ship(spark)
     sharpe = lambda y: y.mean(0) / y.std(0, ddof=1)
     base = sharpe(x)
