@@ -1,9 +1,13 @@
 """Queries that go over whole tables, against brute force."""
 
+import datetime
 import math
+import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
-from compare import connect
+from compare import connect, differ
 
 import __spark_entry__ as entry
 from tidemark.sources.tables import BARS_SQL
@@ -92,3 +96,33 @@ def test_minimum_variance_weighs_all_symbols(spark, sf, closes):
     risk = {x: sum(c * w[y] for s, y, c in moments if s == x) for x in w}
     least = sum(risk[x] * w[x] for x in w)
     assert all(abs(risk[x] / least - 1) < 0.01 if w[x] > 0 else risk[x] > 0.99 * least for x in w)
+
+
+def orders(folder, found):
+    """found: key, customer, price, day."""
+    key, cust, price, day = zip(*found, strict=True)
+    pq.write_table(pa.table({"o_orderkey": pa.array(key, pa.int64()), "o_custkey": pa.array(cust, pa.int64()), "o_totalprice": pa.array(price, pa.float64()), "o_orderdate": pa.array(day, pa.timestamp("us"))}), folder / "orders.parquet")
+    return str(folder)
+
+
+def ranked(spark, sf):
+    return differ(spark, connect(sf), entry.queries()["percent_rank_30d"], entry.oracle_sql()["percent_rank_30d"], sf)
+
+
+def test_ranks_of_odd_orders(spark, tmp_path):
+    """Unknown prices and days, ties, NaN, infinite prices, repeated and missing keys, days before 1970, gaps of 29 to 31 days and around the edges of blocks."""
+    rng, start = random.Random(5), datetime.datetime(1969, 11, 1)
+    days = [0, 1, 29, 30, 31, 58, 59, 60, 61, 62, 91, 92, 119, 120, 121, 200, 230, 261, 400]
+    price = lambda: rng.choice([None, float("nan"), float("inf"), 250000.0, 1.0, 2.0, 3.0, rng.uniform(0, 5e5)])
+    found = [(rng.choice([None, 7, k]), k % 12, price(), rng.choice([None, *(start + datetime.timedelta(days=d, hours=rng.randrange(24)) for d in days)])) for k in range(900)]
+    found += [(5000 + k, 3, None, datetime.datetime(2020, 1, 1)) for k in range(3)]
+    assert ranked(spark, orders(tmp_path, found)) is None
+
+
+def test_ranks_do_not_collect_their_frames(spark, tmp_path):
+    """A frame of every row held as a list grows with the square of a day's rows."""
+    rng = random.Random(6)
+    sf = orders(tmp_path, [(k, 0, float(rng.randrange(100000)), datetime.datetime(2020, 1, 1 + k % 4)) for k in range(8000)])
+    plan = entry.queries()["percent_rank_30d"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+    assert ranked(spark, sf) is None

@@ -109,11 +109,7 @@ def rolling_var(spark, d):
 
 @query("percent_rank_30d", f"WITH {FUNDING_SQL} SELECT sym, d, seq, round(avg(CASE WHEN b <= rate THEN 1.0 ELSE 0 END), 6) AS v FROM (SELECT a.sym, a.d, a.seq, a.rate, b.rate AS b FROM funding a JOIN funding b ON a.sym = b.sym AND b.d BETWEEN a.d - 30 AND a.d) GROUP BY sym, d, seq")
 def percent_rank(spark, d):
-    days = F.datediff("d", F.lit("1990-01-01"))
-    f = Window.partitionBy("sym").orderBy(days).rangeBetween(-30, 0)
-    x = funding(spark, d).withColumn("past", F.collect_list("rate").over(f))
-    share = F.size(F.filter("past", lambda p: p <= C("rate"))) / F.size("past")
-    return out(x, "sym", "d", "seq", v=share)
+    return out(W.ranks_within(funding(spark, d), "rate", 30, ["seq"]), "sym", "d", "seq", v=C("most") / C("n"))
 
 
 @query("har_components", f"WITH {BARS_SQL}, e AS (SELECT sym, d, i, lr * lr AS v FROM rets) SELECT sym, d, round(v * 1e4, 5) AS day, round(avg(v) OVER (PARTITION BY sym ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) * 1e4, 5) AS week, round(avg(v) OVER (PARTITION BY sym ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) * 1e4, 5) AS month FROM e WHERE i > 1")
