@@ -126,3 +126,10 @@ def test_ranks_do_not_collect_their_frames(spark, tmp_path):
     plan = entry.queries()["percent_rank_30d"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Window" not in plan
     assert ranked(spark, sf) is None
+
+
+def test_ranks_without_a_customer(spark, tmp_path):
+    """Missing and negative customers belong to the last symbol, as in the SQL."""
+    rng = random.Random(7)
+    found = [(k, rng.choice([None, -1, -5, -6, 5, 6, 7]), float(rng.randrange(1000)), datetime.datetime(2020, 1, 1 + k % 20)) for k in range(300)]
+    assert ranked(spark, orders(tmp_path, found)) is None

@@ -55,5 +55,5 @@ def bars_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    sym = F.element_at(F.array(*(F.lit(s) for s in SYMBOLS)), (F.col("o_custkey") % 6 + 1).cast("int"))
+    sym = F.coalesce(F.get(F.array(*(F.lit(s) for s in SYMBOLS)), (F.col("o_custkey") % 6).cast("int")), F.lit("RO"))
     return o.select(sym.alias("sym"), F.to_date("o_orderdate").alias("d"), F.col("o_orderkey").alias("seq"), ((F.col("o_totalprice") - 250000) / 1e9).alias("rate"))
